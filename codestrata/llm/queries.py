@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import leakage, reading
+from codestrata.llm import handwritten, leakage, reading, unparsable
 from codestrata.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, sf_dir, "files"))
+
+
+def p3_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.origins(table(spark, sf_dir, "files"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unparsable.unparsable_files(table(spark, sf_dir, "files"))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unparsable.invalid_rates(table(spark, sf_dir, "files"), table(spark, sf_dir, "build_results"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -23,7 +39,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_items, p8_found)}
+    return {f.__name__: f for f in (p3_found, p3_origins, p5_found, p5_rates, p6_found, p6_items, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
