@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import handwritten, leakage, reading, unparsable
+from codestrata.llm import handwritten, leakage, mixing, reading, unparsable
 from codestrata.session import table
 
 
@@ -34,12 +34,22 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks_per_item(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents stand in which shard of the mixture, and how often."""
+    mixed = mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixed.select("doc_id", "source", "copy", "shard", "place")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares_reached(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels")).select("doc_id", "level")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_origins, p5_found, p5_rates, p6_found, p6_items, p8_found)}
+    return {f.__name__: f for f in (p3_found, p3_origins, p5_found, p5_rates, p6_found, p6_items, p7_mixture, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
