@@ -25,6 +25,7 @@ FACT_SCHEMA = (
     "specifier string, import_kind string, symbols array<string>, locals array<string>, reexport boolean, caller string, callee string, line int, extends string"
 )
 _COLUMNS = [part.split()[0] for part in FACT_SCHEMA.split(", ")]
+_DTYPES = dict.fromkeys(("start_line", "end_line", "line"), "Int32") | dict.fromkeys(("exported", "reexport"), "boolean")
 _LEXER_OF = {"ts": "ts", "tsx": "tsx", "jsx": "tsx", "js": "js", "go": "go", "java": "java", "rust": "rs", "hcl": "tf"}
 _IDENT = re.compile(r"[\w$]+(?:-[\w-]+)?")
 _PLAIN = re.compile(r"[\w$]+")
@@ -631,12 +632,7 @@ def _batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = []
         for repo, path, lang, source in zip(*(batch[c].tolist() for c in ("repo", "path", "lang", "source"))):
             found += facts_of(repo, path, lang, source)
-        frame = pd.DataFrame(found, columns=_COLUMNS)
-        for name in ("start_line", "end_line", "line"):
-            frame[name] = frame[name].astype("Int32")
-        for name in ("exported", "reexport"):
-            frame[name] = frame[name].astype("boolean")
-        yield frame.astype({c: object for c in ("symbols", "locals")})
+        yield pd.DataFrame({c: pd.Series([f.get(c) for f in found], dtype=_DTYPES.get(c, object)) for c in _COLUMNS})
 
 
 def extract_facts(files: DataFrame) -> DataFrame:
