@@ -24,6 +24,7 @@ def write_changed(expected: DataFrame, path: str) -> DataFrame:
     Returns (path, state) of what was changed, added or pruned. The shard is a hash of the path.
     """
     from codestrata.operators.compare import verify
+    from codestrata.session import checkpointed
 
     spark = expected.sparkSession
     rows = expected.select("path", "text", F.sha2("text", 256).alias("sha"), F.pmod(F.xxhash64("path"), F.lit(256)).alias("shard"))
@@ -33,7 +34,7 @@ def write_changed(expected: DataFrame, path: str) -> DataFrame:
         rows.write.partitionBy("shard").parquet(path)
         return rows.select("path", F.lit("missing").alias("state"))
     before = spark.read.schema("path string, text string, sha string, shard int").parquet(path)
-    states = verify(rows, before, ["path"], "sha").persist()
+    states = checkpointed(verify(rows, before, ["path"], "sha"))  # read again after its inputs are overwritten
     shards = [r.shard for r in states.select(F.pmod(F.xxhash64("path"), F.lit(256)).cast("int").alias("shard")).distinct().collect()]  # 256 at most
     if shards:
         rows.where(F.col("shard").isin(shards)).write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
