@@ -127,9 +127,9 @@ def shape(source: str) -> tuple[bool, bool, bool]:
     repetition = False
     blocks = [b for b in re.split(r"\n\s*\n", source.replace("\r\n", "\n")) if b.strip()]
     if len(blocks) >= 8:
-        shapes = Counter(_NUMBER.sub("0", b.strip()) for b in blocks)
-        common, times = shapes.most_common(1)[0]
-        repetition = times >= 8 and times >= 0.7 * len(blocks) and "0" in common
+        shapes = Counter(_NUMBER.sub("0", b) for b in {b.strip() for b in blocks})  # the numbers must differ
+        times = shapes.most_common(1)[0][1]
+        repetition = times >= 8 and times >= 0.7 * len(blocks)
     return minified, data, repetition
 
 

@@ -187,7 +187,8 @@ def plan_mixture(
 
 
 def mixture(documents: DataFrame, targets: DataFrame, shards: int = 64, blocks: int = 1024, seed: int = 0, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """The mixed corpus: documents' columns with source cleaned, plus copy, shard and place (the order in the shard).
+    """The mixed corpus: documents' columns with source cleaned, plus copy, shard and place (the order in the shard);
+    columns of the documents that have one of these three names are replaced.
 
     The plan (sources times blocks rows at most) is broadcast; texts move once, to their shard, where they
     are ordered by a hash that differs between copies. Documents of sources without target are left out.
@@ -198,14 +199,16 @@ def mixture(documents: DataFrame, targets: DataFrame, shards: int = 64, blocks:
 
 
 def _deal(documents: DataFrame, plan: Plan, shards: int, seed: int) -> DataFrame:
+    kept = [c for c in documents.columns if c not in ("copy", "shard", "place")]
+    documents = documents.select(*kept)
     if not plan.blocks:
         return documents.limit(0).select("*", F.lit(0).alias("copy"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("place"))
     number = F.create_map(*[F.lit(x) for s, n in plan.blocks.items() for x in (s, n)])
     mine = documents.where("doc_id is not null").withColumn("source", clean_source(F.col("source")))
-    mine = mine.withColumn("block", block_of(F.col("doc_id"), number[F.col("source")], seed))
-    dealt = mine.join(F.broadcast(plan.assignments), ["source", "block"]).drop("block")
-    order = F.xxhash64(F.lit(seed + 1), "doc_id", "copy", "shard").alias("place")
-    return dealt.select(*[c for c in documents.columns], "copy", "shard", order).repartition(shards, "shard").sortWithinPartitions("shard", "place")
+    mine = mine.withColumn("__block", block_of(F.col("doc_id"), number[F.col("source")], seed))
+    dealt = mine.join(F.broadcast(plan.assignments.withColumnRenamed("block", "__block")), ["source", "__block"])
+    place = F.xxhash64(F.lit(seed + 1), "doc_id", "copy", "shard").alias("place")
+    return dealt.select(*kept, "copy", "shard", place).repartition(shards, "shard").sortWithinPartitions("shard", "place")
 
 
 def shares_reached(documents: DataFrame, targets: DataFrame, shards: int = 64, blocks: int = 1024, seed: int = 0, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
