@@ -74,7 +74,7 @@ def syllables(word: str) -> int:
             n -= 1
         if part.endswith(("ed", "es")) and n > 1 and not part.endswith(("ted", "ded", "ses", "zes", "ces", "ges", "ches", "shes", "xes", "les", "eed", "ied", "ies")):
             n -= 1
-        n += len(re.findall(r"i[aou](?!u)|[aeo]o(?<!oo)|eo|(?<=cr)ea|ua(?=[lt])|(?<=[iy])ing|[^s]ism$", part))
+        n += len(re.findall(r"i[aou](?!u)|[aeo]o(?<!oo)|eo|(?<=cr)ea|(?<=d)ea(?=l?$)|(?<=r)eal|ua(?=[lt])|(?<=[iy])ing|[^s]ism$", part))
         n -= len(re.findall(r"(?:t|c|s|x)io(?:n|us)|[gct]ia[ln]|iou", part))
         total += max(1, n)
     return total
