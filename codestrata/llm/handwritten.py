@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.session import spread
+from codestrata.session import checkpointed, spread
 
 # Wordings of notices, lower case. A comment with one of the first is generated (or third-party)
 # on its own; hints count only two at a time in a line; a comment with a denial never counts.
@@ -171,6 +171,7 @@ def origins(files: DataFrame) -> DataFrame:
         "data",
         "content",
     )
+    flags = checkpointed(flags)  # read twice below, so the sources are read once
     # one row per content, pre-aggregated: whether any of its holders is vendored
     holders = flags.where("content is not null").groupBy("content").agg(F.bool_or("vendored").alias("copied")).where("copied")
     return (
