@@ -8,15 +8,17 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.operators import compare, graph, link, resolve
+from codestrata.operators import compare, graph, link, references, resolve
 from codestrata.session import checkpointed
 from codestrata.sources.extract import extract_facts
+from codestrata.sources.infra import infra_facts
+from codestrata.sources.manifests import detect_packages, manifests
 
 
 @dataclass
 class CodeMap:
-    """Lazily chained tables over files (repo, path, source, loc); `modules` (repo, module_path) are Go modules,
-    `packages` (repo, pkg, dir) the package directories, by default one root package per repository."""
+    """Lazily chained tables over files (repo, path, source); `modules` (repo, module_path) are Go modules and
+    `packages` (repo, pkg, dir) package directories known from elsewhere, by default those of the manifests."""
 
     files: DataFrame
     modules: DataFrame | None = None
@@ -30,7 +32,11 @@ class CodeMap:
     @cached_property
     def facts(self) -> DataFrame:
         """Extracted once and checkpointed: every other table selects from it."""
-        return checkpointed(extract_facts(self.files))
+        return checkpointed(extract_facts(self.files).unionByName(infra_facts(self.files)))
+
+    @cached_property
+    def declared(self) -> DataFrame:
+        return checkpointed(manifests(self.files))
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -38,12 +44,17 @@ class CodeMap:
 
     @cached_property
     def owners(self) -> DataFrame:
-        roots = self.packages if self.packages is not None else self.paths.select("repo").distinct().select("repo", F.lit("root").alias("pkg"), F.lit(".").alias("dir"))
-        return resolve.package_of(self.paths, roots)
+        roots = self.packages if self.packages is not None else detect_packages(self.declared, self.files)
+        return resolve.package_of(self.paths, roots.select("repo", "pkg", "dir"))
+
+    @property
+    def _modules(self) -> DataFrame:
+        own = self.declared.where("kind = 'package' and source = 'go.mod' and dir = '.'").select("repo", F.col("name").alias("module_path"))
+        return own if self.modules is None else own.unionByName(self.modules.select("repo", "module_path"))
 
     @cached_property
     def imports(self) -> DataFrame:
-        return checkpointed(link.link_imports(self.facts, self.paths, self.modules))
+        return checkpointed(link.link_imports(self.facts, self.paths, self._modules, self.declared))
 
     @cached_property
     def symbols(self) -> DataFrame:
@@ -61,7 +72,7 @@ class CodeMap:
 
     @cached_property
     def references(self) -> DataFrame:
-        return link.link_references(self.facts)
+        return references.link_references(self.facts, self.paths)
 
     @cached_property
     def pairs(self) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.ids import directory_of, lang_of, normal_join, package_of_specifier
-from codestrata.operators.resolve import probe
+from codestrata.operators.resolve import by_unique_suffix, probe
 from codestrata.session import checkpointed
+from codestrata.sources.manifests import alias_candidates
 
 SCRIPT_ENDS = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
 
@@ -39,12 +40,14 @@ def candidates(lang: Column, file: Column, specifier: Column) -> Column:
     return F.coalesce(F.when(lang.isin("ts", "tsx", "js", "jsx"), script).when(lang == "python", python).when(lang == "rust", rust), none)
 
 
-def link_imports(imports: DataFrame, files: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+def link_imports(imports: DataFrame, files: DataFrame, modules: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
     """Import facts (repo, file, specifier, import_kind, symbols, reexport) -> edges (repo, from, to, kind, import_kind, names, specifier).
 
     to is a file, a directory (Go packages, local Terraform modules), `ext:<package>` or `unresolved:<specifier>`;
     self-edges are dropped; edges that differ in the specifier only come once, with the least. modules
-    (repo, module_path) are the Go modules whose packages are directories of the repository.
+    (repo, module_path) are the Go modules whose packages are directories of the repository; declared is what
+    the manifests say (sources/manifests.py): tsconfig paths and packages of the repository. Java names resolve to
+    the one file whose path ends in them.
     """
     lang = lang_of(F.col("file"))
     wanted = imports.where("fact = 'import'").select("repo", "file", "specifier").distinct()
@@ -53,6 +56,15 @@ def link_imports(imports: DataFrame, files: DataFrame, modules: DataFrame | None
     directories = files.select("repo", directory_of(F.col("path")).alias("path")).distinct()
     local = wanted.where(lang == "hcl").where("specifier like './%' or specifier like '../%'").select("repo", "file", "specifier", normal_join(directory_of(F.col("file")), F.col("specifier")).alias("path"))
     hits = hits.select("repo", "file", "specifier", "path").unionByName(local.join(directories, ["repo", "path"], "left_semi").select("repo", "file", "specifier", "path"))
+    if declared is not None:
+        script = wanted.where(lang.isin("ts", "tsx", "js", "jsx"))
+        named = alias_candidates(script, declared)
+        ends = named.select("repo", "file", "specifier", F.posexplode(_each(F.col("base"), SCRIPT_ENDS)).alias("place", "path"), "rank")
+        aliased = ends.join(files.select("repo", "path").distinct(), ["repo", "path"]).groupBy("repo", "file", "specifier").agg(F.min_by("path", F.struct("rank", "place")).alias("path"))
+        hits = hits.unionByName(aliased.select("repo", "file", "specifier", "path"))
+    java = wanted.where(lang == "java").withColumn("token", F.concat(F.regexp_replace(F.regexp_replace("specifier", r"\.\*$", ""), r"\.", "/"), F.lit(".java")))
+    one = by_unique_suffix(java.select("repo", "token"), files.where(F.col("path").like("%.java")))
+    hits = hits.unionByName(java.join(one, ["repo", "token"]).select("repo", "file", "specifier", "path"))
     if modules is not None:
         go = wanted.where(lang == "go").join(modules.where("module_path is not null").select("repo", "module_path").distinct(), "repo")
         inside = go.where((F.col("specifier") == F.col("module_path")) | F.startswith("specifier", F.concat("module_path", F.lit("/"))))
