@@ -6,11 +6,17 @@ don't grow into recomputation. All keys carry the repository, so one run covers
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.session import checkpointed
 
+SMALL = 500_000  # edges of a repository that one task may hold
+SMALL_NODES = 20_000  # nodes whose reachable sets one task may hold, as bits: 50 MB
+
 
 def _edges(edges: DataFrame) -> DataFrame:
     """Distinct edges without nulls."""
@@ -34,13 +40,93 @@ def closure(edges: DataFrame) -> DataFrame:
         size = grown
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _tarjan(pairs: list[tuple[str, str]]) -> list[list[str]]:
+    """Strongly connected components in reverse topological order, without recursion."""
+    after: dict[str, list[str]] = defaultdict(list)
+    for a, b in pairs:
+        after[a].append(b)
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    stack: list[str] = []
+    on: set[str] = set()
+    out: list[list[str]] = []
+    for root in sorted({x for p in pairs for x in p}):
+        if root in number:
+            continue
+        work = [(root, iter(after[root]))]
+        number[root] = low[root] = len(number)
+        stack.append(root)
+        on.add(root)
+        while work:
+            node, rest = work[-1]
+            for far in rest:
+                if far not in number:
+                    number[far] = low[far] = len(number)
+                    stack.append(far)
+                    on.add(far)
+                    work.append((far, iter(after[far])))
+                    break
+                if far in on:
+                    low[node] = min(low[node], number[far])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    part = []
+                    while not part or part[-1] != node:
+                        part.append(stack.pop())
+                        on.discard(part[-1])
+                    out.append(part)
+    return out
+
+
+def _components_of_repo(group: pd.DataFrame) -> pd.DataFrame:
+    found = _tarjan(list(zip(group["src"], group["dst"])))
+    rows = [(group["repo"].iloc[0], node, min(part)) for part in found if len(part) > 1 for node in part]
+    return pd.DataFrame(rows, columns=["repo", "node", "component"])
+
+
+def _blast_of_repo(group: pd.DataFrame) -> pd.DataFrame:
+    """How many other nodes reach each node: reachable sets as bits, over the graph of components."""
+    pairs = list(zip(group["dst"], group["src"]))  # reversed: who a node is reached by
+    parts = _tarjan(pairs)
+    part_of = {node: i for i, part in enumerate(parts) for node in part}
+    place = {node: i for i, node in enumerate(part_of)}
+    after: dict[int, set[int]] = defaultdict(set)
+    for a, b in pairs:
+        if part_of[a] != part_of[b]:
+            after[part_of[a]].add(part_of[b])
+    bits: list[int] = []
+    rows = []
+    for i, part in enumerate(parts):  # a component's successors come before it
+        own = 0
+        for node in part:
+            own |= 1 << place[node]
+        for far in after[i]:
+            own |= bits[far]
+        bits.append(own)
+        rows += [(group["repo"].iloc[0], node, own.bit_count() - 1) for node in part]
+    return pd.DataFrame(rows, columns=["repo", "node", "blast"])
+
+
+def _sizes(edges: DataFrame) -> tuple[int, int]:
+    """The most edges and (at most) nodes of a repository."""
+    counts = edges.groupBy("repo").agg(F.count("*").alias("e"), (F.approx_count_distinct("src") + F.approx_count_distinct("dst")).alias("v"))
+    row = counts.agg(F.max("e").alias("e"), F.max("v").alias("v")).first()
+    return row.e or 0, int(1.2 * (row.v or 0))
+
+
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(repo, node, component): strongly connected components of two nodes or more; component is its least node.
 
-    Forward-backward colouring, linear in edges each round: every node takes the least node that reaches it
+    While no repository has more than `small` edges, each is one task's work (Tarjan). Beyond it: forward-backward colouring, linear in edges each round: every node takes the least node that reaches it
     as colour; nodes of a colour that reach the colour's node are its component; they leave, and it repeats.
     Nodes that no edge enters or leaves within the rest are trimmed first. A loop edge is no cycle.
     """
+    plain = _edges(edges).where("src <> dst")
+    if _sizes(plain)[0] <= small:
+        return plain.groupBy("repo").applyInPandas(_components_of_repo, "repo string, node string, component string")
     rest = checkpointed(_edges(edges).where("src <> dst"))
     found: DataFrame | None = None
     while True:
@@ -90,9 +176,17 @@ def cycles(edges: DataFrame) -> DataFrame:
     return members.select("repo", "component", F.size("members").alias("size"), line.alias("line"))
 
 
-def blast_radius(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(repo, node, blast): how many other nodes reach each node of `nodes` (repo, node); 0 where none does."""
-    counts = closure(edges).where("src <> dst").groupBy("repo", F.col("dst").alias("node")).agg(F.count("*").alias("blast"))
+def blast_radius(edges: DataFrame, nodes: DataFrame, small: int = SMALL, small_nodes: int = SMALL_NODES) -> DataFrame:
+    """(repo, node, blast): how many other nodes reach each node of `nodes` (repo, node); 0 where none does.
+
+    Repositories of `small` edges and `small_nodes` nodes at most are one task's work each; beyond it the closure is counted.
+    """
+    plain = _edges(edges).where("src <> dst")
+    most_edges, most_nodes = _sizes(plain)
+    if most_edges <= small and most_nodes <= small_nodes:
+        counts = plain.groupBy("repo").applyInPandas(_blast_of_repo, "repo string, node string, blast long")
+    else:
+        counts = closure(edges).where("src <> dst").groupBy("repo", F.col("dst").alias("node")).agg(F.count("*").alias("blast"))
     return nodes.distinct().join(counts, ["repo", "node"], "left").select("repo", "node", F.coalesce("blast", F.lit(0)).alias("blast"))
 
 

@@ -34,10 +34,12 @@ def test_closure_components_and_blast_against_brute_force(spark):
         nodes = {x for p in pairs for x in p}
         scc = {n: min([n] + [m for m in nodes if (n, m) in plain and (m, n) in plain]) for n in nodes}
         groups = {n: c for n, c in scc.items() if sum(v == c for v in scc.values()) > 1}
-        assert {r.node: r.component for r in graph.components(edges(spark, pairs)).collect()} == groups
+        for small in (graph.SMALL, 0):  # one task a repository, and the distributed way
+            assert {r.node: r.component for r in graph.components(edges(spark, pairs), small).collect()} == groups
         table = spark.createDataFrame([("r", n) for n in sorted(nodes) + ["alone"]], "repo string, node string")
-        blast = {r.node: r.blast for r in graph.blast_radius(edges(spark, pairs), table).collect()}
-        assert blast == {n: sum(a != n for a, b in want if b == n) for n in nodes} | {"alone": 0}
+        for small in (graph.SMALL, 0):
+            blast = {r.node: r.blast for r in graph.blast_radius(edges(spark, pairs), table, small).collect()}
+            assert blast == {n: sum(a != n for a, b in want if b == n) for n in nodes} | {"alone": 0}
 
 
 def test_impact_depth_nulls_and_empty(spark):
