@@ -73,7 +73,7 @@ def link_imports(imports: DataFrame, files: DataFrame, modules: DataFrame | None
         hits = hits.unionByName(target.join(directories, ["repo", "path"], "left_semi").select("repo", "file", "specifier", "path"))
     hits = hits.groupBy("repo", "file", "specifier").agg(F.min("path").alias("to"))
     relative = F.col("specifier").rlike(r"^\.|^crate::|^mod ")
-    package = F.when(lang.isin("python", "java"), F.regexp_extract("specifier", r"^([^.]+)", 1)).when(lang == "rust", F.regexp_extract("specifier", r"^([^:]+)", 1)).when(lang == "go", F.col("specifier")).otherwise(package_of_specifier(F.col("specifier")))
+    package = F.when(lang.isin("python", "java", "kotlin"), F.regexp_extract("specifier", r"^([^.]+)", 1)).when(lang == "rust", F.regexp_extract("specifier", r"^([^:]+)", 1)).when(lang == "go", F.col("specifier")).otherwise(package_of_specifier(F.col("specifier")))
     missed = F.when(relative, F.concat(F.lit("unresolved:"), "specifier")).otherwise(F.concat(F.lit("ext:"), package))
     rows = imports.where("fact = 'import'").join(hits, ["repo", "file", "specifier"], "left").withColumn("to", F.coalesce("to", missed))
     kind = F.when(F.col("reexport"), "reexport").otherwise("import")

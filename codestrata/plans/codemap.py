@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import ids
-from codestrata.operators import compare, graph, resolve
+from codestrata.operators import answers, compare, graph, resolve
 from codestrata.session import table
 
 _PACKAGE = r"^((?:packages|apps|services)/[^/]+)/"
@@ -333,6 +333,33 @@ def map_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("repo").agg(F.count("*").alias("builds"), length("skipped"), length("warnings"))
 
 
+@_query(
+    _CLOSURE
+    + """, b as (select repo, dst, count(*) as n from c where src <> dst group by all), x as (select repo, file, string_agg(distinct name, ',' order by name) as exports from symbols where exported group by all),
+    n as (select repo, file, count(distinct name) as declared from symbols group by all)
+    select o.repo, o.path, o.pkg, o.loc, coalesce(i1.n, 0) as fan_in, coalesce(u1.n, 0) as fan_out, coalesce(b.n, 0) as blast, coalesce(x.exports, '') as exports, coalesce(n.declared, 0) as declared from o
+    left join (select repo, dst, count(distinct src) as n from e group by all) i1 on i1.repo = o.repo and i1.dst = o.path left join (select repo, src, count(distinct dst) as n from u group by all) u1 on u1.repo = o.repo and u1.src = o.path
+    left join b on b.repo = o.repo and b.dst = o.path left join x on x.repo = o.repo and x.file = o.path left join n on n.repo = o.repo and n.file = o.path"""
+)
+def map_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of each file, in one row."""
+    m = Map(spark, sf_dir)
+    return answers.describe_files(m.current, m.imports, m.symbols, m.packages).drop("lang")
+
+
+@_query(
+    """with s as (select distinct on (repo, path) repo, path, first(coalesce(sha256, '')) over (partition by repo, path order by file_id) as a, first(coalesce(sha256, '')) over (partition by repo, path order by file_id desc) as b from files)
+    select repo, path, case when a <> b then 'stale' else 'found' end as status from s"""
+)
+def map_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First scans as the map, last scans as the tree: what is stale."""
+    files = Map(spark, sf_dir).files
+    sha = F.coalesce("sha256", F.lit("")).alias("sha256")
+    old = files.groupBy("repo", "path").agg(F.min_by(sha, "file_id").alias("sha256"))
+    new = files.groupBy("repo", "path").agg(F.max_by(sha, "file_id").alias("sha256"))
+    return answers.status_of(files, old, new, EXCLUDES)
+
+
 @_query("select repo, lang, count(*) as n, sum(coalesce(loc, 0))::bigint as loc from files group by all")
 def map_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Map(spark, sf_dir).files.groupBy("repo", "lang").agg(F.count("*").alias("n"), F.sum(F.coalesce("loc", F.lit(0))).alias("loc"))

@@ -26,7 +26,7 @@ FACT_SCHEMA = (
 )
 _COLUMNS = [part.split()[0] for part in FACT_SCHEMA.split(", ")]
 _DTYPES = dict.fromkeys(("start_line", "end_line", "line"), "Int32") | dict.fromkeys(("exported", "reexport"), "boolean")
-_LEXER_OF = {"ts": "ts", "tsx": "tsx", "jsx": "tsx", "js": "js", "go": "go", "java": "java", "rust": "rs", "hcl": "tf"}
+_LEXER_OF = {"ts": "ts", "tsx": "tsx", "jsx": "tsx", "js": "js", "go": "go", "java": "java", "rust": "rs", "hcl": "tf", "kotlin": "kt"}
 _IDENT = re.compile(r"[\w$]+(?:-[\w-]+)?")
 _PLAIN = re.compile(r"[\w$]+")
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
@@ -107,7 +107,7 @@ class _Reader:
 
     def calls(self) -> None:
         """Call sites: name(…), object.name(…) and new Name(…), with the innermost function around them."""
-        declared = {head for _, head, _ in self.scopes}
+        declared = {start for start, _, _ in self.scopes}
         for i in range(1, self.size):
             if self.kinds[i] not in ("(", "TEMPLATE") or self.kinds[i - 1] != "ID" or i - 1 in declared or self.words[i - 1] in _NO_CALL:
                 continue
@@ -395,6 +395,75 @@ def _java(r: _Reader, i: int = 0, stop: int | None = None, parent: str | None =
         i = max(i, first + 1)
 
 
+def _kotlin(r: _Reader, i: int = 0, stop: int | None = None, parent: str | None = None, open_: bool = True) -> None:
+    """Kotlin: public unless private or internal; extensions are `Receiver.name`, companions `Outer.Companion`."""
+    stop = r.size if stop is None else stop
+    modifiers = frozenset("public private protected internal open abstract final sealed data enum annotation override suspend inline operator infix const lateinit inner companion tailrec external vararg".split())
+    while i < stop:
+        first = i
+        if r.words[i] in ("import", "package") and not parent and r.kinds[i + 1 : i + 2] == ["ID"]:
+            end = i + 1
+            while end + 2 < stop + 1 and r.kinds[end + 1 : end + 2] == ["."]:
+                end += 2
+            if r.words[i] == "import":
+                spec = "".join(r.text[r.at[i + 1] : r.at[end + 1] if end + 1 < r.size else len(r.text)].split())
+                local = r.word(end + 2) if r.words[end + 1 : end + 2] == ["as"] else spec.rpartition(".")[2]
+                spec = spec.removesuffix("as" + local) if r.words[end + 1 : end + 2] == ["as"] else spec
+                name = spec.rpartition(".")[2]
+                r.add("import", specifier=spec, import_kind="static", symbols=[name], locals=[local], reexport=False, line=r.line(i))
+                end += 2 * (r.words[end + 1 : end + 2] == ["as"])
+            i = end + 1
+            continue
+        seen = set()
+        while i < stop and (r.words[i] in modifiers and r.kinds[i + 1] not in ("=", ".", "(", ":") or r.kinds[i] == "@"):
+            if r.kinds[i] == "@":
+                i += 2
+                i = r.match.get(i, i) + 1 if i < stop and r.kinds[i] == "(" else i
+            else:
+                seen.add(r.words[i])
+                i += 1
+        if i >= stop:
+            return
+        word = r.words[i]
+        public = open_ and not seen & {"private", "internal"}
+        if word in ("class", "interface", "object") and (r.kinds[i + 1 : i + 2] == ["ID"] or "companion" in seen):
+            name = r.word(i + 1) if r.kinds[i + 1 : i + 2] == ["ID"] else "Companion"
+            body = r.find(i + 1, ("{",), stop)
+            fresh = next((k for k in range(i + 2, body) if r.fresh[k] and r.kinds[k] not in (":", ",", "(", ")", "<") and r.kinds[k - 1] not in (":", ",", "(")), None)
+            bare = body >= stop or fresh is not None and r.words[fresh] in modifiers | {"class", "fun", "val", "var", "interface", "object", "typealias"}
+            last = (fresh or stop) - 1 if bare else r.match.get(body, body)
+            kind = "enum" if "enum" in seen else "record" if "data" in seen else "class" if word == "object" else word
+            r.declare(name, kind, first, last + 1 if bare else body, last, public, parent)
+            path = f"{parent}.{name}" if parent else name
+            if public:
+                r.add("export", name=path, kind="named", signature=name)
+            if not bare:
+                _kotlin(r, body + 1, last, path, public)
+            i = last + 1
+        elif word == "fun":
+            k = r.find(i + 1, ("(",), stop)
+            name = r.word(k - 1)
+            owner = r.word(k - 3) if r.kinds[k - 2 : k - 1] == ["."] and k - 3 > i else parent
+            after = r.match.get(k, k) + 1
+            body = next((j for j in range(after, stop) if r.kinds[j] in ("{", "=") or r.fresh[j] and r.kinds[j] != ":"), stop)
+            last = r.match.get(body, body) if body < stop and r.kinds[body] == "{" else next((j - 1 for j in range(body + 1, stop) if r.fresh[j] and r.kinds[j] not in (".", "?.", "?:")), stop - 1) if body < stop and r.kinds[body] == "=" else body - 1
+            r.declare(name, "method" if owner else "function", first, body, last, public, owner)
+            _scope(r, f"{owner}.{name}" if owner else name, k - 1, last)
+            if public and not owner:
+                r.add("export", name=name, kind="named", signature=name)
+            i = last + 1
+        elif word in ("val", "var", "typealias") and r.kinds[i + 1 : i + 2] == ["ID"]:
+            name = r.word(i + 1)
+            last = next((j - 1 for j in range(i + 2, stop) if r.kinds[j] == ";" or r.fresh[j] and r.kinds[j] not in (".", "?.", "?:", ":", "=")), stop - 1)
+            r.declare(name, {"val": "const", "var": "var"}.get(word, "type"), first, min(r.find(i + 2, ("=",), last + 1), last + 1), last, public, parent)
+            if public and not parent:
+                r.add("export", name=name, kind="named", signature=name)
+            i = last + 1
+        else:
+            i = r.match.get(i, i) + 1
+        i = max(i, first + 1)
+
+
 def _rust(r: _Reader, i: int = 0, stop: int | None = None, parent: str | None = None, module: str = "") -> None:
     stop = r.size if stop is None else stop
     kinds = {"struct": "struct", "union": "struct", "enum": "enum", "trait": "trait", "type": "type", "const": "const", "static": "var", "mod": "module", "fn": "function"}
@@ -614,7 +683,7 @@ def facts_of(repo: str | None, file: str, lang: str, text: str) -> list[dict]:
     if r.broken:
         return [{"repo": repo, "file": file, "fact": "unparsable"}]
     try:
-        {"go": _go, "java": _java, "rust": _rust, "hcl": _hcl}.get(lang, _script)(r)
+        {"go": _go, "java": _java, "rust": _rust, "hcl": _hcl, "kotlin": _kotlin}.get(lang, _script)(r)
         if lang in ("ts", "tsx", "js", "jsx"):
             _dynamic(r)
         if lang != "hcl":

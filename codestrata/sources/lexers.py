@@ -50,6 +50,12 @@ PYTHON_RESERVED = _words(
     "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield"
 )
 PYTHON_CONTEXT = _words("match case type")
+KOTLIN_RESERVED = _words(
+    "as break class continue do else false for fun if in interface is null object package return super this throw true try typealias val var when while"
+)
+KOTLIN_CONTEXT = _words(
+    "import enum data sealed open abstract final private protected internal public override companion suspend inline operator infix const lateinit inner annotation tailrec external by get set init constructor vararg"
+)
 HCL_RESERVED = _words("for in if true false null")
 
 
@@ -369,6 +375,12 @@ _JAVA = rf"""{_C_SKIP}
   | (?P<num>{_NUMBER}[lLfFdD]?(?![A-Za-z0-9_]))
   | (?P<id>[^\W\d][\w$]*|\$[\w$]*)
   | (?P<op>\.\.\.|->|::|\+\+|--|&&|\|\||<<=|<<|==|!=|<=|[-+*/%&|^]=|[-+*/%&|^!~?:;,.()\[\]{{}}<>=@])"""
+_KOTLIN = rf"""(?P<skip>[\s\ufeff]+|//[^\n]*|/\*.*?\*/)|(?P<bad>/\*)
+  | (?P<str>\"\"\".*?\"\"\"+|"(?!\"\")(?:[^"\\\r\n]|\\.)*")
+  | (?P<char>'(?:[^'\\\r\n]|\\(?:u[\da-fA-F]{{4}}|.))')
+  | (?P<num>{_NUMBER}[uUlLfF]{{0,2}}(?![A-Za-z0-9_]))
+  | (?P<id>[^\W\d]\w*|`[^`\n]+`)
+  | (?P<op>\.\.<?|->|::|\?\.|\?:|!!|\+\+|--|&&|\|\||===|!==|==|!=|<=|[-+*/%]=|[-+*/%!?:;,.()\[\]{{}}<>=@\#])"""
 _RUST = rf"""(?P<skip>[\s\ufeff]+|//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/)|(?P<bad>/\*)
   | (?P<str>[bc]?r(?P<h>\#*)".*?"(?P=h)|[bc]?"(?:[^"\\]|\\.)*")
   | (?P<char>b?'(?:[^'\\\r\n]|\\(?:x[\da-fA-F]{{2}}|u\{{[\da-fA-F_]+\}}|.))')
@@ -389,6 +401,7 @@ LEXERS = {
     "py": Python(),
     "go": Go(_GO, GO_RESERVED),
     "java": Simple(_JAVA, JAVA_RESERVED, JAVA_CONTEXT),
+    "kt": Simple(_KOTLIN, KOTLIN_RESERVED, KOTLIN_CONTEXT),
     "rs": Simple(_RUST, RUST_RESERVED, RUST_CONTEXT),
     "tf": Hcl(_HCL, HCL_RESERVED),
 }

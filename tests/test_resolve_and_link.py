@@ -110,3 +110,51 @@ def test_compare(spark):
     assert (r.p50, r.p95, r["median"], r.mean) == (2, 4, 2.5, 2.5)
     w = compare.win_loss_tie(n.select(F.col("v").alias("k"), F.lit(1.0).alias("x")), n.select(F.col("v").alias("k"), (F.col("v") / 2).alias("x")), ["k"], "x").first()
     assert (w.wins, w.losses, w.ties) == (1, 2, 1)
+
+
+KOTLIN = """package a.b
+
+import c.d.E
+import c.d.F as G
+
+@Ann(1) data class P(val x: Int) : Q()
+
+class Box<T> private constructor(val y: Int) {
+    companion object { const val N = 1; fun make(): Box<Int> { return build() } }
+    private var z = 2
+    fun put(t: T) = take(t)
+    internal fun take(t: T) { println(t) }
+}
+
+fun String.shout(): String = this.uppercase()
+fun main() { Box.make() }
+typealias A = List<Int>
+private object Hidden
+"""
+
+
+def test_kotlin_facts():
+    from codestrata.sources.extract import facts_of
+
+    facts = facts_of("r", "a.kt", "kotlin", KOTLIN)
+    decls = {(f["name"], f["kind"], f["exported"]) for f in facts if f["fact"] == "decl"}
+    assert decls == {
+        ("P", "record", True), ("Box", "class", True), ("Box.Companion", "class", True), ("Box.Companion.N", "const", True), ("Box.Companion.make", "method", True), ("Box.z", "var", False),
+        ("Box.put", "method", True), ("Box.take", "method", False), ("String.shout", "method", True), ("main", "function", True), ("A", "type", True), ("Hidden", "class", False),
+    }
+    assert {(f["specifier"], f["locals"][0]) for f in facts if f["fact"] == "import"} == {("c.d.E", "E"), ("c.d.F", "G")}
+    assert ("main", "Box.make") in {(f["caller"], f["callee"]) for f in facts if f["fact"] == "call"}
+
+
+def test_answers(spark):
+    from codestrata.operators import answers
+
+    files = spark.createDataFrame([("r", "a/x.ts"), ("r", "b/y.ts"), ("q", "a/x.ts")], "repo string, path string")
+    symbols = spark.createDataFrame([("r", "a/x.ts#K.m", "K.m"), ("r", "b/y.ts#z", "z")], "repo string, id string, name string")
+    needles = spark.createDataFrame([(n,) for n in ("y.ts", "a/x.ts", "a", "z", "m", "b/y.ts#z", "none", "")], "needle string")
+    got = {(r.needle, r.step, r.repo, r.id) for r in answers.ladder(needles, files, symbols).collect()}
+    assert got == {("y.ts", 1, "r", "b/y.ts"), ("a/x.ts", 1, "r", "a/x.ts"), ("a/x.ts", 1, "q", "a/x.ts"), ("a", 3, "r", "a"), ("a", 3, "q", "a"), ("z", 4, "r", "b/y.ts#z"), ("m", 5, "r", "a/x.ts#K.m"), ("b/y.ts#z", 2, "r", "b/y.ts#z")}
+    make = lambda rows: spark.createDataFrame(rows, "repo string, path string, sha256 string")
+    asked = make([("r", p, None) for p in ("f", "s", "v/vendor/x", "u", "gone")])
+    status = answers.status_of(asked, make([("r", "f", "1"), ("r", "s", "1"), ("r", "gone", "1")]), make([("r", "f", "1"), ("r", "s", "2"), ("r", "v/vendor/x", "1"), ("r", "u", None)]), ["**/vendor/**"])
+    assert {r.path: r.status for r in status.collect()} == {"f": "found", "s": "stale", "v/vendor/x": "excluded: **/vendor/**", "u": "unmapped", "gone": "absent"}
