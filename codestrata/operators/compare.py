@@ -99,3 +99,49 @@ def byte_delta(pairs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["id", "bytes"])
 
     return pairs.select("id", "old", "new").mapInPandas(batches, f"id {pairs.schema['id'].dataType.simpleString()}, bytes long")
+
+
+def score_against_truth(predicted: DataFrame, truth: DataFrame, keys: list[str], universe: DataFrame, ends: list[str]) -> DataFrame:
+    """Per repository: tp, fp, fn, precision, recall of edges whose `ends` both lie in the universe (repo, path).
+
+    Both sides are cut to the universe first, so that files only one side could read don't count.
+    """
+    known = universe.select("repo", "path").distinct()
+
+    def cut(df: DataFrame) -> DataFrame:
+        for end in ends:
+            df = df.join(known.withColumnRenamed("path", end), ["repo", end], "left_semi")
+        return df.select("repo", *keys).distinct()
+
+    both = cut(predicted).withColumn("__p", F.lit(1)).join(cut(truth).withColumn("__t", F.lit(1)), ["repo", *keys], "full_outer")
+    counts = both.groupBy("repo").agg(F.count_if(F.col("__p").isNotNull() & F.col("__t").isNotNull()).alias("tp"), F.count_if(F.col("__t").isNull()).alias("fp"), F.count_if(F.col("__p").isNull()).alias("fn"))
+    ratio = lambda n: F.when(F.col("tp") + F.col(n) == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col(n)))
+    return counts.select("*", ratio("fp").alias("precision"), ratio("fn").alias("recall"))
+
+
+def lcs_ratio(pairs: DataFrame) -> DataFrame:
+    """pairs (id, old, new) -> (id, ratio): 2 * longest common subsequence of words / words of both; 1 for two empty texts."""
+
+    def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            out = []
+            for key, old, new in zip(batch["id"], batch["old"], batch["new"]):
+                a, b = (old or "").split(), (new or "").split()
+                masks: dict[str, int] = {}
+                for i, word in enumerate(a):
+                    masks[word] = masks.get(word, 0) | 1 << i
+                # bit-parallel: zeros of `row` mark the subsequence's length
+                row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
+                for word in b:
+                    hit = row & masks.get(word, 0)
+                    row = ((row + hit) | (row - hit)) & full
+                length = len(a) - row.bit_count()
+                out.append((key, 2 * length / (len(a) + len(b)) if a or b else 1.0))
+            yield pd.DataFrame(out, columns=["id", "ratio"])
+
+    return pairs.select("id", "old", "new").mapInPandas(batches, f"id {pairs.schema['id'].dataType.simpleString()}, ratio double")
+
+
+def missed_targets(measured: DataFrame, targets: DataFrame) -> DataFrame:
+    """(metric, value, most): measured metrics above their target; metrics without a target or a value are not judged."""
+    return measured.join(targets, "metric").where("value > most").select("metric", "value", "most")

@@ -16,12 +16,19 @@ from pyspark.sql import functions as F
 from codestrata.operators.bucketed import first_after, previous_row
 
 
-def merge_intervals(intervals: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Merge half-open intervals [lo, hi) of each key into disjoint ones; touching ones are joined.
+def merge_intervals(intervals: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi", bucket: int = 1_000_000) -> DataFrame:
+    """Merge half-open intervals [lo, hi) of numbers of each key into disjoint ones; touching ones are joined.
 
-    Empty intervals (lo >= hi) and intervals with a null end are dropped. Exact duplicates count once.
+    Empty intervals (lo >= hi) and intervals with a null end are dropped. Exact duplicates count once. They are
+    merged inside stretches of `bucket` numbers first, so that a hot key's many small intervals are many tasks;
+    what is left of each stretch is merged across.
     """
     clean = intervals.select(*keys, lo, hi).where(F.col(lo) < F.col(hi)).groupBy(*keys, lo).agg(F.max(hi).alias(hi))
+    inside = _islands(clean.withColumn("__stretch", F.floor(F.col(lo) / bucket)), [*keys, "__stretch"], lo, hi)
+    return _islands(inside.drop("__stretch"), keys, lo, hi)
+
+
+def _islands(clean: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
     before = Window.partitionBy(*keys).orderBy(lo).rowsBetween(Window.unboundedPreceding, -1)
     running = Window.partitionBy(*keys).orderBy(lo)
     reach = F.max(hi).over(before)

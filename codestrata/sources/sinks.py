@@ -60,3 +60,32 @@ def hotspots_markdown(metrics: DataFrame, k: int = 10) -> str:
     """The k most imported files as a Markdown table."""
     rows = metrics.orderBy(F.desc("fan_in"), "repo", "path").limit(k).collect()
     return "\n".join(["| repo | path | fan-in |", "|---|---|---|", *[f"| {r.repo} | {r.path} | {r.fan_in} |" for r in rows]])
+
+
+def render_tree(paths: list[str]) -> str:
+    """An ASCII tree of paths, directories first, each level in order; for a bounded list such as a page of files."""
+    root: dict = {}
+    for path in paths:
+        node = root
+        for part in path.split("/"):
+            node = node.setdefault(part, {})
+    lines: list[str] = []
+    def level(node: dict, prefix: str) -> list[tuple]:
+        names = sorted(node, key=lambda n: (not node[n], n))
+        return [(node[n], n, prefix, i == len(names) - 1) for i, n in enumerate(names)]
+
+    todo = level(root, "")[::-1]
+    while todo:
+        node, name, prefix, last = todo.pop()
+        lines.append(f"{prefix}{'└── ' if last else '├── '}{name}{'/' if node else ''}")
+        todo += level(node, prefix + ("    " if last else "│   "))[::-1]
+    return "\n".join(lines)
+
+
+def relative_link(source: str, target: str) -> str:
+    """The link from one artifact's path to another's."""
+    a, b = source.split("/")[:-1], target.split("/")
+    same = 0
+    while same < min(len(a), len(b) - 1) and a[same] == b[same]:
+        same += 1
+    return "/".join([".."] * (len(a) - same) + b[same:])

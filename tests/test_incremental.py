@@ -68,6 +68,12 @@ def test_intervals(spark):
     assert sorted(map(tuple, merged.collect())) == [("a", 1, 5), ("a", 8, 9)]
     rest = inc.subtract_intervals(make([("a", 0, 10), ("b", 0, 2)]), make([("a", 2, 4), ("a", 3, 6), ("c", 0, 1), ("a", 9, 20)]), ["k"])
     assert sorted(map(tuple, rest.collect())) == [("a", 0, 2), ("a", 6, 9), ("b", 0, 2)]
+    rng = random.Random(8)
+    many = [("a", x, x + rng.randrange(0, 9)) for x in (rng.randrange(300) for _ in range(60))]
+    points = {p for _, x, y in many for p in range(x, y)}
+    merged = sorted(map(tuple, inc.merge_intervals(make(many), ["k"], bucket=10).collect()))
+    assert {p for _, x, y in merged for p in range(x, y)} == points
+    assert all(a[2] < b[1] for a, b in zip(merged, merged[1:]))
     assert inc.subtract_intervals(make([]), make([("a", 1, 2)]), ["k"]).collect() == []
 
 

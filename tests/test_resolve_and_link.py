@@ -105,6 +105,14 @@ def test_compare(spark):
     pairs = spark.createDataFrame([(1, "abc", "axc"), (2, None, None), (3, "aa", "aaa")], "id int, old string, new string")
     assert {r.id: r.bytes for r in compare.byte_delta(pairs).collect()} == {1: 1, 2: 0, 3: 1}
     assert {r.id: (r.added, r.removed) for r in compare.unified_diffs(pairs).collect()} == {1: (1, 1), 2: (0, 0), 3: (1, 1)}
+    texts = spark.createDataFrame([(1, "a b c d", "b x d"), (2, None, ""), (3, "a", None)], "id int, old string, new string")
+    assert {r.id: round(r.ratio, 3) for r in compare.lcs_ratio(texts).collect()} == {1: round(4 / 7, 3), 2: 1.0, 3: 0.0}
+    e = lambda rows: spark.createDataFrame([("r", *x) for x in rows], "repo string, src string, dst string")
+    universe = spark.createDataFrame([("r", x) for x in "abc"], "repo string, path string")
+    t = compare.score_against_truth(e([("a", "b"), ("a", "c"), ("a", "z")]), e([("a", "b"), ("z", "b"), ("c", "a")]), ["src", "dst"], universe, ["src", "dst"]).first()
+    assert (t.tp, t.fp, t.fn, t.precision, t.recall) == (1, 1, 1, 0.5, 0.5)
+    m = compare.missed_targets(spark.createDataFrame([("p50", 3.0), ("p95", 1.0), ("rss", None)], "metric string, value double"), spark.createDataFrame([("p50", 2.0), ("p95", 2.0), ("rss", 1.0)], "metric string, most double"))
+    assert [r.metric for r in m.collect()] == ["p50"]
     n = spark.createDataFrame([("a", i) for i in (1, 2, 3, 4)], "k string, v int")
     r = compare.summarize(n, ["k"], "v").first()
     assert (r.p50, r.p95, r["median"], r.mean) == (2, 4, 2.5, 2.5)

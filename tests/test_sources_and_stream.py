@@ -44,6 +44,12 @@ def test_markdown_and_mermaid(spark):
     assert sinks.mermaid(edges).splitlines() == ["graph LR", '  n0["a"]', '  n1["b"]', "  n0 -->|2| n1", "  n1 --> n0"]
 
 
+def test_tree_and_links():
+    assert sinks.render_tree(["b.ts", "a/x.ts", "a/c/y.ts"]).splitlines() == ["├── a/", "│   ├── c/", "│   │   └── y.ts", "│   └── x.ts", "└── b.ts"]
+    assert sinks.render_tree([]) == ""
+    assert [sinks.relative_link(a, b) for a, b in [("p/a.md", "p/b.md"), ("p/q/a.md", "x.md"), ("a.md", "p/b.md")]] == ["b.md", "../../x.md", "p/b.md"]
+
+
 def test_stream_publishes_every_change_once(spark, tmp_path):
     schema = "change_id long, checkout_id long, path string, content_sha string, change_kind string, repo string, arrived_at timestamp"
     folder, ledger, checkpoint = (str(tmp_path / x) for x in ("in", "ledger", "checkpoint"))
