@@ -124,10 +124,10 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     as colour; nodes of a colour that reach the colour's node are its component; they leave, and it repeats.
     Nodes that no edge enters or leaves within the rest are trimmed first. A loop edge is no cycle.
     """
-    plain = _edges(edges).where("src <> dst")
+    plain = checkpointed(_edges(edges).where("src <> dst"))
     if _sizes(plain)[0] <= small:
         return plain.groupBy("repo").applyInPandas(_components_of_repo, "repo string, node string, component string")
-    rest = checkpointed(_edges(edges).where("src <> dst"))
+    rest = plain
     found: DataFrame | None = None
     while True:
         size = rest.count()
@@ -181,7 +181,7 @@ def blast_radius(edges: DataFrame, nodes: DataFrame, small: int = SMALL, small_n
 
     Repositories of `small` edges and `small_nodes` nodes at most are one task's work each; beyond it the closure is counted.
     """
-    plain = _edges(edges).where("src <> dst")
+    plain = checkpointed(_edges(edges).where("src <> dst"))
     most_edges, most_nodes = _sizes(plain)
     if most_edges <= small and most_nodes <= small_nodes:
         counts = plain.groupBy("repo").applyInPandas(_blast_of_repo, "repo string, node string, blast long")
@@ -190,13 +190,37 @@ def blast_radius(edges: DataFrame, nodes: DataFrame, small: int = SMALL, small_n
     return nodes.distinct().join(counts, ["repo", "node"], "left").select("repo", "node", F.coalesce("blast", F.lit(0)).alias("blast"))
 
 
-def impact(edges: DataFrame, targets: DataFrame, most_depth: int | None = None, reverse: bool = True) -> DataFrame:
+def _impact_of_repo(most_depth: int | None):
+    def search(key, steps: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+        after: dict[str, list[str]] = defaultdict(list)
+        for a, b in zip(steps["node"], steps["next"]):
+            after[a].append(b)
+        rows = []
+        for target in targets["target"]:
+            seen, frontier, depth = {target}, [target], 0
+            while frontier and (most_depth is None or depth < most_depth):
+                depth += 1
+                frontier = sorted({far for node in frontier for far in after[node]} - seen)
+                seen.update(frontier)
+                rows += [(key[0], target, node, depth) for node in frontier]
+        return pd.DataFrame(rows, columns=["repo", "target", "node", "depth"])
+
+    return search
+
+
+def impact(edges: DataFrame, targets: DataFrame, most_depth: int | None = None, reverse: bool = True, small: int = SMALL, few: int = 100) -> DataFrame:
     """(repo, target, node, depth): what is affected by each target (repo, target), at its least depth.
 
-    Breadth first over reversed edges (forward with reverse=False), all targets at once; a target never lists itself.
+    Breadth first over reversed edges (forward with reverse=False); a target never lists itself. While no repository
+    has more than `small` edges or `few` targets, each is one task's work; beyond it all targets go one join a round.
     """
     steps = _edges(edges).toDF("repo", "node", "next") if not reverse else _edges(edges).select("repo", F.col("dst").alias("node"), F.col("src").alias("next"))
     steps = checkpointed(steps)
+    wanted = targets.where("repo is not null and target is not null").select("repo", "target").distinct()
+    most_targets = wanted.groupBy("repo").count().agg(F.max("count")).first()[0] or 0
+    most_edges = steps.groupBy("repo").count().agg(F.max("count")).first()[0] or 0
+    if most_edges <= small and most_targets <= few:
+        return steps.groupBy("repo").cogroup(wanted.groupBy("repo")).applyInPandas(_impact_of_repo(most_depth), "repo string, target string, node string, depth int")
     seen = checkpointed(targets.where("repo is not null and target is not null").distinct().select("repo", "target", F.col("target").alias("node"), F.lit(0).alias("depth")))
     frontier, depth = seen, 0
     while most_depth is None or depth < most_depth:

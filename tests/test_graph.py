@@ -45,8 +45,9 @@ def test_closure_components_and_blast_against_brute_force(spark):
 def test_impact_depth_nulls_and_empty(spark):
     chain = edges(spark, [("b", "a"), ("c", "b"), ("d", "c"), ("a", "d"), ("e", "a")])
     target = spark.createDataFrame([("r", "a"), ("r", None)], "repo string, target string")
-    assert sorted((r.depth, r.node) for r in graph.impact(chain, target).collect()) == [(1, "b"), (1, "e"), (2, "c"), (3, "d")]
-    assert sorted(r.node for r in graph.impact(chain, target, most_depth=1).collect()) == ["b", "e"]
+    for small in (graph.SMALL, 0):
+        assert sorted((r.depth, r.node) for r in graph.impact(chain, target, small=small).collect()) == [(1, "b"), (1, "e"), (2, "c"), (3, "d")]
+        assert sorted(r.node for r in graph.impact(chain, target, most_depth=1, small=small).collect()) == ["b", "e"]
     none = spark.createDataFrame([], "repo string, src string, dst string")
     assert graph.closure(none).count() == graph.components(none).count() == graph.impact(none, target).count() == 0
 
