@@ -64,12 +64,37 @@ with ok as (
 """
 
 
+_P2 = """
+with v as (
+  select min(record_id) as record_id from bench_raw where json_valid(payload) and json_type(payload) = 'OBJECT' group by file_name, line_no
+), r as (
+  select record_id, payload::json as j from bench_raw where record_id in (select record_id from v)
+), d as (
+  select record_id, j -> 'machine' as m, case when json_type(j -> 'diagrams') = 'VARCHAR' then (j ->> 'diagrams')::json else j -> 'diagrams' end as dg from r
+), g as (
+  select record_id, unnest(case json_type(dg -> 'byFence') when 'OBJECT' then [dg -> 'byFence'] when 'ARRAY' then from_json(dg -> 'byFence', '["json"]') end) as x from d
+), h as (
+  select record_id, x ->> 'file' as file, unnest(case when json_type(x -> 'fences') = 'ARRAY' then from_json(x -> 'fences', '["json"]') else [x] end) as y from g
+), p as (
+  select record_id, file, (y ->> 'index')::int as fence_index, case when json_type(y -> 'problems') = 'ARRAY' then json_array_length(y -> 'problems')::int else 0 end as n from h
+), c as (
+  select record_id, unnest([m -> 'cpu', m -> 'cpuModel', m -> 'processor']) as x from d
+), k as (
+  select record_id, case json_type(x) when 'ARRAY' then json_array_length(x)::int else 1 end as n from c where x is not null and json_type(x) <> 'NULL'
+)
+select record_id, 'fence' as child, file, fence_index, 0 as item_no from p
+union all select record_id, 'problem', file, fence_index, unnest(range(1, n + 1))::int from p
+union all select record_id, 'cpu', '', 0, unnest(range(1, n + 1))::int from k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_fences, p2_problems, p2_cpus, p4_found, p4_pending)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _P2,
         "p4_found": _P4 + "select run_id, change_id from assigned",
         "p4_pending": _P4 + "select checkout_id, change_id, path from changed where change_id not in (select change_id from assigned)",
     }
