@@ -211,17 +211,20 @@ def _impact_of_repo(most_depth: int | None):
 def impact(edges: DataFrame, targets: DataFrame, most_depth: int | None = None, reverse: bool = True, small: int = SMALL, few: int = 100) -> DataFrame:
     """(repo, target, node, depth): what is affected by each target (repo, target), at its least depth.
 
-    Breadth first over reversed edges (forward with reverse=False); a target never lists itself. While no repository
-    has more than `small` edges or `few` targets, each is one task's work; beyond it all targets go one join a round.
+    Breadth first over reversed edges (forward with reverse=False); a target never lists itself. The targets of a
+    repository are dealt into blocks of about `few`, each one task's work with the repository's edges; where that
+    makes more than `small` edges of a repository, copies included, all targets go one join a round instead.
     """
     steps = _edges(edges).toDF("repo", "node", "next") if not reverse else _edges(edges).select("repo", F.col("dst").alias("node"), F.col("src").alias("next"))
     steps = checkpointed(steps)
-    wanted = targets.where("repo is not null and target is not null").select("repo", "target").distinct()
-    most_targets = wanted.groupBy("repo").count().agg(F.max("count")).first()[0] or 0
-    most_edges = steps.groupBy("repo").count().agg(F.max("count")).first()[0] or 0
-    if most_edges <= small and most_targets <= few:
-        return steps.groupBy("repo").cogroup(wanted.groupBy("repo")).applyInPandas(_impact_of_repo(most_depth), "repo string, target string, node string, depth int")
-    seen = checkpointed(targets.where("repo is not null and target is not null").distinct().select("repo", "target", F.col("target").alias("node"), F.lit(0).alias("depth")))
+    wanted = checkpointed(targets.where("repo is not null and target is not null").select("repo", "target").distinct())
+    blocks = wanted.groupBy("repo").agg(F.ceil(F.count("*") / few).alias("blocks"))
+    copies = steps.groupBy("repo").count().join(blocks, "repo").agg(F.max(F.col("count") * F.col("blocks"))).first()[0] or 0
+    if copies <= small:
+        dealt = wanted.join(blocks, "repo").select(F.col("repo").alias("repo"), "target", F.pmod(F.xxhash64("target"), "blocks").alias("block"))
+        edges_of = steps.join(blocks, "repo").select("repo", "node", "next", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        return edges_of.groupBy("repo", "block").cogroup(dealt.groupBy("repo", "block")).applyInPandas(_impact_of_repo(most_depth), "repo string, target string, node string, depth int")
+    seen = checkpointed(wanted.select("repo", "target", F.col("target").alias("node"), F.lit(0).alias("depth")))
     frontier, depth = seen, 0
     while most_depth is None or depth < most_depth:
         depth += 1

@@ -149,7 +149,14 @@ def map_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Map(spark, sf_dir)
     file_like = (F.instr("to_id", ".") > 0) & ids.is_file_id(F.col("to_id"))
     targets = m.raw_imports.where(file_like).groupBy("repo").agg(F.min("to_id").alias("target"))
-    return graph.impact(m.pairs(), targets, most_depth=25).withColumn("depth", F.col("depth").cast("long"))
+    return graph.impact(m.pairs(), targets).withColumn("depth", F.col("depth").cast("long"))
+
+
+@_query(None)
+def map_impact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is affected, and how far away, by every imported file; no SQL, as a recursion over depths cannot stop on cycles."""
+    pairs = Map(spark, sf_dir).pairs()
+    return graph.impact(pairs, pairs.select("repo", F.col("dst").alias("target"))).withColumn("depth", F.col("depth").cast("long"))
 
 
 @_query(

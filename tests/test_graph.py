@@ -52,6 +52,36 @@ def test_impact_depth_nulls_and_empty(spark):
     assert graph.closure(none).count() == graph.components(none).count() == graph.impact(none, target).count() == 0
 
 
+def test_impact_queries_have_no_depth_limit(spark, tmp_path):
+    from codestrata.plans import codemap
+
+    names = [f"n{i:02}.ts" for i in range(41)]
+    steps = list(zip(names[1:], names)) + [(names[0], names[40]), ("m/x.go", names[3]), (names[7], "m")]  # a cycle of 41, and a directory
+    spark.createDataFrame([(i, "r", p, 1) for i, p in enumerate([*names, "m/x.go"])], "file_id long, repo string, path string, loc int").write.parquet(f"{tmp_path}/files.parquet")
+    rows = [("r", a, b, "import", "static", ["x"], b) for a, b in steps]
+    spark.createDataFrame(rows, "repo string, from_path string, to_id string, kind string, import_kind string, symbols array<string>, specifier string").write.parquet(f"{tmp_path}/imports.parquet")
+    spark.createDataFrame([], "repo string").write.parquet(f"{tmp_path}/symbols.parquet")
+    after = {}
+    for a, b in steps:
+        after.setdefault("m/x.go" if b == "m" else b, set()).add(a)
+    want = set()
+    for target in after:
+        seen, frontier, depth = {target}, {target}, 0
+        while frontier:
+            depth += 1
+            frontier = {x for n in frontier for x in after.get(n, ())} - seen
+            seen |= frontier
+            want |= {(target, n, depth) for n in frontier}
+    assert max(d for *_, d in want) > 25
+    assert {(r.target, r.node, r.depth) for r in codemap.map_impact(spark, str(tmp_path)).collect()} == {w for w in want if w[0] == names[0]}
+    found = [(r.target, r.node, r.depth) for r in codemap.map_impact_all(spark, str(tmp_path)).collect()]
+    assert len(found) == len(want) and set(found) == want
+    pairs = edges(spark, [(a, "m/x.go" if b == "m" else b) for a, b in steps])
+    for small in (graph.SMALL, 0):  # targets in blocks of 7, and the distributed way
+        found = [(r.target, r.node, r.depth) for r in graph.impact(pairs, pairs.selectExpr("repo", "dst as target"), small=small, few=7).collect()]
+        assert len(found) == len(want) and set(found) == want
+
+
 def test_directory_targets(spark):
     files = spark.createDataFrame([("r", p) for p in ("m/a.go", "m/b.go", "main.go", "x.go")], "repo string, path string")
     rows = [("main.go", "m", "import"), ("main.go", "m", "import"), ("main.go", "ext:fmt", "import"), ("x.go", "main.go", "reexport"), ("m/a.go", "m", "import"), ("x.go", ".", "call")]
