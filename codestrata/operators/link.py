@@ -81,13 +81,13 @@ def link_imports(imports: DataFrame, files: DataFrame, modules: DataFrame | None
     return rows.groupBy("repo", "from", "to", "kind", "import_kind", "names").agg(F.min("specifier").alias("specifier"))
 
 
-def export_index(exports: DataFrame, edges: DataFrame, declarations: DataFrame, most_hops: int = 20) -> DataFrame:
+def export_index(exports: DataFrame, edges: DataFrame, declarations: DataFrame) -> DataFrame:
     """(repo, file, name, target_file, target_symbol, hops): what every exported name means, if it means one thing.
 
     exports are facts (repo, file, name, kind named/default/star, specifier, signature = the local or foreign
     name); edges from link_imports say which file a re-export's specifier is. An own export shadows a star; a
     name that two stars bring from different declarations is dropped; a diamond to one declaration keeps the
-    fewest hops; `default` never passes a star. Chains longer than most_hops stay unresolved.
+    fewest hops; `default` never passes a star. Chains have any length: the rounds end when none finds a new meaning.
     """
     target = edges.where("kind = 'reexport'").select("repo", F.col("from").alias("file"), "specifier", F.col("to").alias("source")).distinct()
     rows = exports.where("fact = 'export'").select("repo", "file", "name", "kind", "specifier", F.col("signature").alias("local"))
@@ -97,7 +97,7 @@ def export_index(exports: DataFrame, edges: DataFrame, declarations: DataFrame,
     passed = checkpointed(rows.where("specifier is not null").join(target, ["repo", "file", "specifier"]).select("repo", "file", "name", "kind", "local", "source").distinct())
     explicit = rows.where("kind <> 'star'").select("repo", "file", "name").distinct()
     known = checkpointed(pinned)
-    for _ in range(most_hops):
+    while True:
         there = known.select("repo", F.col("file").alias("source"), F.col("name").alias("local"), "target_file", "target_symbol", "hops")
         named = passed.where("kind = 'named'").join(there, ["repo", "source", "local"])
         star = passed.where("kind = 'star'").drop("name", "local").join(there.withColumn("name", F.col("local")), ["repo", "source"]).where("name <> 'default'")

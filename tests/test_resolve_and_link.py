@@ -93,6 +93,30 @@ def test_engine_from_sources_to_edges(spark):
     assert m.verify(m.imports).count() == 0
 
 
+def test_long_chains_of_reexports_and_cycles(spark):
+    from codestrata.operators import link
+
+    exports, edges = [("f00", "x", "named", None, "x"), ("g", "y", "named", None, "y"), ("h", "y", "named", None, "y")], []
+
+    def passes(file, name, kind, source):
+        exports.append((file, name, kind, source, name))
+        edges.append((file, source, source))
+
+    for i in range(1, 26):  # x by name, y by stars
+        passes(f"f{i:02}", "x", "named", f"f{i - 1:02}")
+        passes(f"s{i:02}", None, "star", f"s{i - 1:02}" if i > 1 else "h")
+    passes("s01", None, "star", "s25")  # a cycle
+    passes("both", None, "star", "g")
+    passes("both", None, "star", "s25")
+    facts = spark.createDataFrame([("r", "export", *e) for e in exports], "repo string, fact string, file string, name string, kind string, specifier string, signature string")
+    linked = spark.createDataFrame([("r", "reexport", *e) for e in set(edges)], "repo string, kind string, from string, specifier string, to string")
+    declared = spark.createDataFrame([("r", "decl", "f00", "x", None), ("r", "decl", "g", "y", None), ("r", "decl", "h", "y", None)], "repo string, fact string, file string, name string, parent string")
+    found = {(r.file, r.name): (r.target_file, r.hops) for r in link.export_index(facts, linked, declared).collect()}
+    assert found[("f25", "x")] == ("f00", 25) and found[("s25", "y")] == ("h", 25)
+    assert ("both", "y") not in found  # two declarations, one of them 26 steps away
+    assert len(found) == 26 + 25 + 2
+
+
 def test_compare(spark):
     make = lambda rows: spark.createDataFrame(rows, "k string, v string")
     states = compare.verify(make([("a", "1"), ("b", "2"), ("c", None), ("e", None)]), make([("b", "3"), ("c", None), ("d", "4"), ("e", "5")]), ["k"], "v")
