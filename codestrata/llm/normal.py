@@ -47,9 +47,8 @@ def fold(text: str) -> str:
 
 def words_of(text: str) -> list[str]:
     """The normalised words of a text: pieces between white space, letters and digits only."""
-    plain_ascii = text.isascii()
     for pattern, replacement, needed in STAGES:
-        if needed in text if needed else not plain_ascii or "--" in text or "..." in text:
+        if needed in text if needed else not text.isascii() or "--" in text or "..." in text:
             text = pattern.sub(replacement, text)
     folded = fold(text)
     if folded.isascii():

@@ -88,6 +88,13 @@ def test_offsets_belong_to_the_same_words(text):
     assert [a for a, _ in spans] == sorted(a for a, _ in spans)
 
 
+def test_escaped_dashes_part_words_of_ascii_texts():
+    for dash in ("&mdash;", "\\u2014", "&hellip;", "\\u2026"):
+        text = f"one{dash}two"
+        assert words_of(text) == words_with_offsets(text)[0] == ["one", "two"], text
+    assert words_of("o&shy;ne") == words_with_offsets("o&shy;ne")[0] == ["one"]
+
+
 def test_tables(spark):
     rows = [(1, "Before. " + ITEM + ". After.", 9), (2, None, 9), (3, "", 9), (4, "nothing here", 9), (1, "Before. " + ITEM + ". After.", 9), (None, ITEM, 9), (5, "word " * 300_000 + ITEM, 9)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, item_id long")
