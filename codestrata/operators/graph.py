@@ -1,7 +1,10 @@
 """Graph operators over edge tables (repo, src, dst): closure, components, blast radius, impact, package graph.
 
-Loops run on the driver, one join a round; each round is checkpointed, so lineage and lost executors
-don't grow into recomputation. All keys carry the repository, so one run covers every repository.
+Searches run in rounds over blocks of edges: a repository's edges are dealt into blocks of bounded size (the edges of
+one node stay together unless they alone fill more), each round a block carries what reached it as far as its own edges
+lead, and what stands at nodes with edges in other blocks is passed on. A small repository is one block and needs one
+round; a large one, or a node with very many edges, is many blocks and more rounds of the same. Rounds are checkpointed,
+so lineage and lost executors don't grow into recomputation. All keys carry the repository.
 """
 
 from __future__ import annotations
@@ -12,10 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.session import checkpointed
+from codestrata.session import checkpointed, discard
 
-SMALL = 500_000  # edges of a repository that one task may hold
-SMALL_NODES = 20_000  # nodes whose reachable sets one task may hold, as bits: 50 MB
+BLOCK_EDGES = 50_000  # edges that one task holds
+BLOCK_SOURCES = 8_192  # nodes whose reach one task carries along, as bits
+BLOCK_TARGETS = 128  # targets that one task searches from
 
 
 def _edges(edges: DataFrame) -> DataFrame:
@@ -81,60 +85,58 @@ def _tarjan(pairs: list[tuple[str, str]]) -> list[list[str]]:
     return out
 
 
-def _components_of_repo(group: pd.DataFrame) -> pd.DataFrame:
-    found = _tarjan(list(zip(group["src"], group["dst"])))
-    rows = [(group["repo"].iloc[0], node, min(part)) for part in found if len(part) > 1 for node in part]
-    return pd.DataFrame(rows, columns=["repo", "node", "component"])
+def _dealt(steps: DataFrame, block_edges: int) -> DataFrame:
+    """steps (repo, node, next) with their block; a node's edges share one, unless the node has more than fit in one."""
+    degree = steps.groupBy("repo", "node").agg(F.count("*").alias("__n"))
+    parts = degree.select("repo", "node", F.ceil(F.col("__n") / block_edges).alias("__parts"))
+    blocks = degree.groupBy("repo").agg(F.ceil(F.sum("__n") / block_edges).alias("__blocks"))
+    block = F.pmod(F.xxhash64("node") + F.pmod(F.xxhash64("next"), F.col("__parts")), F.col("__blocks"))
+    return steps.join(parts, ["repo", "node"]).join(blocks, "repo").select("repo", "node", "next", block.alias("block"))
 
 
-def _blast_of_repo(group: pd.DataFrame) -> pd.DataFrame:
-    """How many other nodes reach each node: reachable sets as bits, over the graph of components."""
-    pairs = list(zip(group["dst"], group["src"]))  # reversed: who a node is reached by
-    parts = _tarjan(pairs)
-    part_of = {node: i for i, part in enumerate(parts) for node in part}
-    place = {node: i for i, node in enumerate(part_of)}
-    after: dict[int, set[int]] = defaultdict(set)
-    for a, b in pairs:
-        if part_of[a] != part_of[b]:
-            after[part_of[a]].add(part_of[b])
-    bits: list[int] = []
-    rows = []
-    for i, part in enumerate(parts):  # a component's successors come before it
-        own = 0
-        for node in part:
-            own |= 1 << place[node]
-        for far in after[i]:
-            own |= bits[far]
-        bits.append(own)
-        rows += [(group["repo"].iloc[0], node, own.bit_count() - 1) for node in part]
-    return pd.DataFrame(rows, columns=["repo", "node", "blast"])
+def _anew(df: DataFrame) -> DataFrame:
+    """The same rows as columns of their own, for a frame that meets its own descendants."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _sizes(edges: DataFrame) -> tuple[int, int]:
-    """The most edges and (at most) nodes of a repository."""
-    counts = edges.groupBy("repo").agg(F.count("*").alias("e"), (F.approx_count_distinct("src") + F.approx_count_distinct("dst")).alias("v"))
-    row = counts.agg(F.max("e").alias("e"), F.max("v").alias("v")).first()
-    return row.e or 0, int(1.2 * (row.v or 0))
+def _components_of_block(group: pd.DataFrame) -> pd.DataFrame:
+    found = _tarjan(list(zip(group["src"], group["dst"])))
+    rows = [(group["repo"].iloc[0], node, min(part)) for part in found if len(part) > 1 for node in part]
+    return pd.DataFrame(rows, columns=["repo", "node", "component"])
 
 
-def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+def components(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """(repo, node, component): strongly connected components of two nodes or more; component is its least node.
 
-    While no repository has more than `small` edges, each is one task's work (Tarjan). Beyond it: forward-backward colouring, linear in edges each round: every node takes the least node that reaches it
-    as colour; nodes of a colour that reach the colour's node are its component; they leave, and it repeats.
-    Nodes that no edge enters or leaves within the rest are trimmed first. A loop edge is no cycle.
+    Components inside a block of nodes are found there (Tarjan) and contracted; what is left of repositories of more
+    than one block is coloured forward and backward in rounds, linear in edges each. A loop edge is no cycle.
     """
     plain = checkpointed(_edges(edges).where("src <> dst"))
-    if _sizes(plain)[0] <= small:
-        return plain.groupBy("repo").applyInPandas(_components_of_repo, "repo string, node string, component string")
-    rest = plain
+    blocks = plain.groupBy("repo").agg(F.ceil(F.count("*") / block_edges).alias("__blocks"))
+    placed = plain.join(blocks, "repo").withColumn("block", F.pmod(F.xxhash64("src"), "__blocks"))
+    inner = placed.where(F.col("block") == F.pmod(F.xxhash64("dst"), "__blocks")).select("repo", "block", "src", "dst")
+    local = checkpointed(inner.groupBy("repo", "block").applyInPandas(_components_of_block, "repo string, node string, component string"))
+    wide = placed.where("__blocks > 1").select("repo", "src", "dst")  # a repository of one block is done
+    for end in ("src", "dst"):
+        wide = wide.join(local.toDF("repo", end, f"__{end}"), ["repo", end], "left").withColumn(end, F.coalesce(f"__{end}", end)).drop(f"__{end}")
+    far = _coloured(checkpointed(wide.where("src <> dst").select("repo", "src", "dst").distinct()))
+    near = local.join(far.toDF("repo", "component", "__far"), ["repo", "component"], "left").select("repo", "node", F.coalesce("__far", "component").alias("component"))
+    return near.unionByName(far.join(local, ["repo", "node"], "left_anti").select("repo", "node", "component"))
+
+
+def _coloured(rest: DataFrame) -> DataFrame:
+    """Components by forward-backward colouring: every node takes the least node that reaches it as colour; nodes of a
+    colour that reach the colour's node are its component; they leave, and it repeats. Nodes that no edge enters or
+    leaves within the rest are trimmed first."""
+    empty = rest.limit(0).select("repo", F.col("src").alias("node"), F.col("dst").alias("component"))
     found: DataFrame | None = None
     while True:
         size = rest.count()
         while size:  # trim: only nodes with edges both ways can lie on a cycle
             inner = rest.select("repo", F.col("src").alias("node")).distinct().join(rest.select("repo", F.col("dst").alias("node")).distinct(), ["repo", "node"])
-            inner = checkpointed(inner)
+            inner, old = checkpointed(inner), rest
             rest = checkpointed(rest.join(inner.toDF("repo", "src"), ["repo", "src"], "left_semi").join(inner.toDF("repo", "dst"), ["repo", "dst"], "left_semi"))
+            discard(old, inner)
             size, before = rest.count(), size
             if size == before:
                 break
@@ -146,6 +148,7 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
             passed = rest.join(colour.toDF("repo", "src", "colour"), ["repo", "src"]).select("repo", F.col("dst").alias("node"), "colour")
             after = checkpointed(colour.unionByName(passed).groupBy("repo", "node").agg(F.min("colour").alias("colour")))
             moved = after.join(colour.toDF("repo", "node", "old"), ["repo", "node"]).where("colour <> old").limit(1).count()
+            discard(colour)
             colour = after
             if not moved:
                 break
@@ -162,9 +165,11 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         part = members.select("repo", "node", F.col("colour").alias("component"))
         found = part if found is None else found.unionByName(part)
         gone = members.select("repo", "node")
+        old = rest
         rest = checkpointed(rest.join(gone.toDF("repo", "src"), ["repo", "src"], "left_anti").join(gone.toDF("repo", "dst"), ["repo", "dst"], "left_anti"))
+        discard(old, inside)
     if found is None:
-        return _edges(edges).limit(0).select("repo", F.col("src").alias("node"), F.col("dst").alias("component"))
+        return empty
     large = found.groupBy("repo", "component").count().where("count > 1").select("repo", "component")
     return checkpointed(found.join(large, ["repo", "component"], "left_semi").select("repo", "node", "component"))
 
@@ -176,64 +181,140 @@ def cycles(edges: DataFrame) -> DataFrame:
     return members.select("repo", "component", F.size("members").alias("size"), line.alias("line"))
 
 
-def blast_radius(edges: DataFrame, nodes: DataFrame, small: int = SMALL, small_nodes: int = SMALL_NODES) -> DataFrame:
-    """(repo, node, blast): how many other nodes reach each node of `nodes` (repo, node); 0 where none does.
+_WORD = (1 << 64) - 1
 
-    Repositories of `small` edges and `small_nodes` nodes at most are one task's work each; beyond it the closure is counted.
+
+def _reach_in_block(key, steps: pd.DataFrame, arrived: pd.DataFrame) -> pd.DataFrame:
+    """What arrived at the block's nodes, as bits, carried to all nodes its edges lead to."""
+    bits: dict[str, int] = defaultdict(int)
+    for node, word, value in zip(arrived["node"], arrived["word"], arrived["bits"]):
+        bits[node] |= (int(value) & _WORD) << (64 * int(word))
+    pairs = [(a, b) for a, b in zip(steps["next"], steps["node"])]
+    before: dict[str, set[str]] = defaultdict(set)
+    for far, node in pairs:
+        before[far].add(node)
+    rows = []
+    for part in _tarjan(pairs):  # along reversed edges, so what leads to a component comes before it
+        own = 0
+        for node in part:
+            own |= bits[node]
+            for far in before[node]:
+                own |= bits[far]
+        for node in part:
+            new = own & ~bits[node]
+            bits[node] = own
+            word = 0
+            while new:
+                if low := new & _WORD:
+                    rows.append((key[0], key[2], node, word, low - (1 << 64) if low >> 63 else low, key[1]))
+                new >>= 64
+                word += 1
+    return pd.DataFrame(rows, columns=["repo", "part", "node", "word", "bits", "block"])
+
+
+def reach_counts(edges: DataFrame, block_edges: int = BLOCK_EDGES, block_sources: int = BLOCK_SOURCES) -> DataFrame:
+    """(repo, node, n): how many other nodes reach each node that any edge enters or leaves; no pairs are made.
+
+    The sources are dealt into parts of about `block_sources`; a part's reach travels as 64-bit words along the blocks.
     """
-    plain = checkpointed(_edges(edges).where("src <> dst"))
-    most_edges, most_nodes = _sizes(plain)
-    if most_edges <= small and most_nodes <= small_nodes:
-        counts = plain.groupBy("repo").applyInPandas(_blast_of_repo, "repo string, node string, blast long")
-    else:
-        counts = closure(edges).where("src <> dst").groupBy("repo", F.col("dst").alias("node")).agg(F.count("*").alias("blast"))
-    return nodes.distinct().join(counts, ["repo", "node"], "left").select("repo", "node", F.coalesce("blast", F.lit(0)).alias("blast"))
+    steps = checkpointed(_dealt(_edges(edges).where("src <> dst").toDF("repo", "node", "next"), block_edges))
+    homes = checkpointed(steps.select("repo", "node", "block").distinct())
+    sources = homes.select("repo", "node").distinct()
+    parts = sources.groupBy("repo").agg(F.ceil(F.count("*") / block_sources).alias("__parts"))
+    numbered = sources.join(parts, "repo").select("repo", "node", F.pmod(F.xxhash64("node", F.lit(1)), "__parts").alias("part"))
+    place = F.row_number().over(Window.partitionBy("repo", "part").orderBy("node")) - 1
+    word, bit = F.floor(F.col("__place") / 64).cast("int"), F.expr("shiftleft(1L, cast(__place % 64 as int))")
+    known = checkpointed(numbered.withColumn("__place", place).select("repo", "part", "node", word.alias("word"), bit.alias("bits")))
+    used = steps.join(parts, "repo").select("repo", "block", "node", "next", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)).alias("part"))
+    frontier = known.join(homes, ["repo", "node"])
+    own = ["repo", "part", "node", "word"]
+    while True:
+        moved = used.groupBy("repo", "block", "part").cogroup(_anew(frontier).groupBy("repo", "block", "part")).applyInPandas(_reach_in_block, "repo string, part long, node string, word int, bits long, block long")
+        moved = checkpointed(moved)
+        new = moved.groupBy(*own).agg(F.bit_or("bits").alias("bits")).join(known.withColumnRenamed("bits", "__old"), own, "left")
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("__old", F.lit(0).cast("long"))))
+        new = new.select(*own, fresh.alias("bits")).where("bits <> 0")
+        # what a block found it has carried on already; other blocks with edges of the node have not
+        done = moved.select(*own, "block", F.col("bits").alias("__done"))
+        frontier = new.join(homes, ["repo", "node"]).join(done, [*own, "block"], "left")
+        frontier = frontier.select(*own, "block", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("__done", F.lit(0).cast("long")))).alias("bits")).where("bits <> 0")
+        frontier, old = checkpointed(frontier), known
+        known = checkpointed(known.unionByName(moved.drop("block")).groupBy(*own).agg(F.bit_or("bits").alias("bits")))
+        discard(old, moved)
+        if not frontier.limit(1).count():
+            break
+    counts = known.groupBy("repo", "node").agg(F.sum(F.bit_count("bits")).alias("__n"))
+    # a source's own bit is no other node
+    itself = sources.withColumn("__own", F.lit(1))
+    return counts.join(itself, ["repo", "node"], "left").select("repo", "node", (F.col("__n") - F.coalesce("__own", F.lit(0))).alias("n"))
 
 
-def _impact_of_repo(most_depth: int | None):
-    def search(key, steps: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+def blast_radius(edges: DataFrame, nodes: DataFrame, block_edges: int = BLOCK_EDGES, block_sources: int = BLOCK_SOURCES) -> DataFrame:
+    """(repo, node, blast): how many other nodes reach each node of `nodes` (repo, node); 0 where none does."""
+    counts = reach_counts(edges, block_edges, block_sources).withColumnRenamed("n", "blast")
+    return nodes.distinct().join(counts, ["repo", "node"], "left").select("repo", "node", F.coalesce("blast", F.lit(0).cast("long")).alias("blast"))
+
+
+def _impact_in_block(most_depth: int | None):
+    def search(key, steps: pd.DataFrame, arrived: pd.DataFrame) -> pd.DataFrame:
         after: dict[str, list[str]] = defaultdict(list)
         for a, b in zip(steps["node"], steps["next"]):
             after[a].append(b)
+        starts: dict[str, list[tuple[int, str]]] = defaultdict(list)
+        for target, node, depth in zip(arrived["target"], arrived["node"], arrived["depth"]):
+            starts[target].append((int(depth), node))
         rows = []
-        for target in targets["target"]:
-            seen, frontier, depth = {target}, [target], 0
-            while frontier and (most_depth is None or depth < most_depth):
-                depth += 1
-                frontier = sorted({far for node in frontier for far in after[node]} - seen)
-                seen.update(frontier)
-                rows += [(key[0], target, node, depth) for node in frontier]
-        return pd.DataFrame(rows, columns=["repo", "target", "node", "depth"])
+        for target, begun in starts.items():
+            best = {node: depth for depth, node in sorted(begun, reverse=True)}
+            given = dict(best)
+            waiting: dict[int, list[str]] = defaultdict(list)
+            for node, depth in best.items():
+                waiting[depth].append(node)
+            while waiting:
+                depth = min(waiting)
+                for node in waiting.pop(depth):
+                    if best[node] < depth or most_depth is not None and depth >= most_depth:
+                        continue
+                    for far in after[node]:
+                        if depth + 1 < best.get(far, depth + 2):
+                            best[far] = depth + 1
+                            waiting[depth + 1].append(far)
+            rows += [(key[0], key[2], target, node, depth, key[1]) for node, depth in best.items() if given.get(node) != depth]
+        return pd.DataFrame(rows, columns=["repo", "part", "target", "node", "depth", "block"])
 
     return search
 
 
-def impact(edges: DataFrame, targets: DataFrame, most_depth: int | None = None, reverse: bool = True, small: int = SMALL, few: int = 100) -> DataFrame:
+def impact(edges: DataFrame, targets: DataFrame, most_depth: int | None = None, reverse: bool = True, block_edges: int = BLOCK_EDGES, block_targets: int = BLOCK_TARGETS) -> DataFrame:
     """(repo, target, node, depth): what is affected by each target (repo, target), at its least depth.
 
-    Breadth first over reversed edges (forward with reverse=False); a target never lists itself. The targets of a
-    repository are dealt into blocks of about `few`, each one task's work with the repository's edges; where that
-    makes more than `small` edges of a repository, copies included, all targets go one join a round instead.
+    Over reversed edges (forward with reverse=False), without limit unless `most_depth` is given; a target never
+    lists itself. The targets of a repository are dealt into parts of about `block_targets`.
     """
     steps = _edges(edges).toDF("repo", "node", "next") if not reverse else _edges(edges).select("repo", F.col("dst").alias("node"), F.col("src").alias("next"))
-    steps = checkpointed(steps)
-    wanted = checkpointed(targets.where("repo is not null and target is not null").select("repo", "target").distinct())
-    blocks = wanted.groupBy("repo").agg(F.ceil(F.count("*") / few).alias("blocks"))
-    copies = steps.groupBy("repo").count().join(blocks, "repo").agg(F.max(F.col("count") * F.col("blocks"))).first()[0] or 0
-    if copies <= small:
-        dealt = wanted.join(blocks, "repo").select(F.col("repo").alias("repo"), "target", F.pmod(F.xxhash64("target"), "blocks").alias("block"))
-        edges_of = steps.join(blocks, "repo").select("repo", "node", "next", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        return edges_of.groupBy("repo", "block").cogroup(dealt.groupBy("repo", "block")).applyInPandas(_impact_of_repo(most_depth), "repo string, target string, node string, depth int")
-    seen = checkpointed(wanted.select("repo", "target", F.col("target").alias("node"), F.lit(0).alias("depth")))
-    frontier, depth = seen, 0
-    while most_depth is None or depth < most_depth:
-        depth += 1
-        moved = frontier.select("repo", "target", "node").join(steps, ["repo", "node"]).select("repo", "target", F.col("next").alias("node")).distinct()
-        frontier = checkpointed(moved.join(seen.select("repo", "target", "node"), ["repo", "target", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+    steps = checkpointed(_dealt(steps, block_edges))
+    homes = checkpointed(steps.select("repo", "node", "block").distinct())
+    wanted = targets.where("repo is not null and target is not null").select("repo", "target").distinct()
+    parts = checkpointed(wanted.groupBy("repo").agg(F.ceil(F.count("*") / block_targets).alias("__parts")))
+    known = wanted.join(parts, "repo").select("repo", F.pmod(F.xxhash64("target"), "__parts").alias("part"), "target", F.col("target").alias("node"), F.lit(0).alias("depth"))
+    known = checkpointed(known)
+    used = steps.join(parts, "repo").select("repo", "block", "node", "next", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)).alias("part"))
+    frontier = known.join(homes, ["repo", "node"])
+    own = ["repo", "part", "target", "node"]
+    search = _impact_in_block(most_depth)
+    while True:
+        moved = used.groupBy("repo", "block", "part").cogroup(_anew(frontier).groupBy("repo", "block", "part")).applyInPandas(search, "repo string, part long, target string, node string, depth int, block long")
+        moved = checkpointed(moved)
+        new = moved.groupBy(*own).agg(F.min("depth").alias("depth")).join(known.withColumnRenamed("depth", "__old"), own, "left").where("__old is null or depth < __old").drop("__old")
+        # a block that found the least depth has searched on from there; other blocks with edges of the node have not
+        done = moved.select(*own, "block", "depth")
+        frontier = checkpointed(new.join(homes, ["repo", "node"]).join(done, [*own, "block", "depth"], "left_anti"))
+        old = known
+        known = checkpointed(known.unionByName(moved.drop("block")).groupBy(*own).agg(F.min("depth").alias("depth")))
+        discard(old, moved)
         if not frontier.limit(1).count():
             break
-        seen = checkpointed(seen.unionByName(frontier))
-    return seen.where("depth > 0")
+    return known.where("depth > 0").select("repo", "target", "node", "depth")
 
 
 def expand_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -282,8 +363,9 @@ def entry_points(imports: DataFrame, files: DataFrame, packages: DataFrame, per_
 
     `packages` is (repo, path, pkg), the package that owns each file.
     """
-    edges = expand_targets(imports, files)
-    reach = closure(edges).where("src <> dst").groupBy("repo", F.col("src").alias("path")).agg(F.count("*").alias("reach"))
+    edges = checkpointed(expand_targets(imports, files).distinct())
+    back = edges.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    reach = reach_counts(back).where("n > 0").select("repo", F.col("node").alias("path"), F.col("n").alias("reach"))
     open_files = files.select("repo", "path").distinct().join(edges.select("repo", F.col("dst").alias("path")).distinct(), ["repo", "path"], "left_anti")
     rows = open_files.join(reach, ["repo", "path"]).join(packages, ["repo", "path"])
     order = Window.partitionBy("repo", "pkg").orderBy(F.desc("reach"), "path")

@@ -35,7 +35,7 @@ def candidates(lang: Column, file: Column, specifier: Column) -> Column:
     crate = F.regexp_replace(F.regexp_replace(specifier, "^crate::", ""), "::", "/")
     above = F.regexp_replace(crate, "/[^/]+$", "")
     rust = F.when(F.startswith(specifier, F.lit("crate::")), F.flatten(F.array(*[_each(F.concat(F.lit(root), p), [".rs", "/mod.rs"]) for p in (crate, above) for root in ("src/", "")])))
-    rust = rust.when(F.startswith(specifier, F.lit("mod ")), _each(normal_join(here, F.substring(specifier, 5, 10_000)), [".rs", "/mod.rs"]))
+    rust = rust.when(F.startswith(specifier, F.lit("mod ")), _each(normal_join(here, F.regexp_replace(specifier, "^mod ", "")), [".rs", "/mod.rs"]))
     none = F.array().cast("array<string>")
     return F.coalesce(F.when(lang.isin("ts", "tsx", "js", "jsx"), script).when(lang == "python", python).when(lang == "rust", rust), none)
 

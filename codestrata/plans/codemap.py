@@ -376,7 +376,7 @@ def map_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_externals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External packages per repository and how many files use each."""
     rows = Map(spark, sf_dir).raw_imports.where("to_id like 'ext:%'")
-    return rows.groupBy("repo", F.substring("to_id", 5, 100_000).alias("external")).agg(F.countDistinct("from_path").alias("users"))
+    return rows.groupBy("repo", F.regexp_replace("to_id", "^ext:", "").alias("external")).agg(F.countDistinct("from_path").alias("users"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

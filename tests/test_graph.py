@@ -34,20 +34,20 @@ def test_closure_components_and_blast_against_brute_force(spark):
         nodes = {x for p in pairs for x in p}
         scc = {n: min([n] + [m for m in nodes if (n, m) in plain and (m, n) in plain]) for n in nodes}
         groups = {n: c for n, c in scc.items() if sum(v == c for v in scc.values()) > 1}
-        for small in (graph.SMALL, 0):  # one task a repository, and the distributed way
-            assert {r.node: r.component for r in graph.components(edges(spark, pairs), small).collect()} == groups
+        for size_of_block in (graph.BLOCK_EDGES, 3):  # one block, and many
+            assert {r.node: r.component for r in graph.components(edges(spark, pairs), size_of_block).collect()} == groups
         table = spark.createDataFrame([("r", n) for n in sorted(nodes) + ["alone"]], "repo string, node string")
-        for small in (graph.SMALL, 0):
-            blast = {r.node: r.blast for r in graph.blast_radius(edges(spark, pairs), table, small).collect()}
+        for blocks in ((graph.BLOCK_EDGES, graph.BLOCK_SOURCES), (3, 2)):
+            blast = {r.node: r.blast for r in graph.blast_radius(edges(spark, pairs), table, *blocks).collect()}
             assert blast == {n: sum(a != n for a, b in want if b == n) for n in nodes} | {"alone": 0}
 
 
 def test_impact_depth_nulls_and_empty(spark):
     chain = edges(spark, [("b", "a"), ("c", "b"), ("d", "c"), ("a", "d"), ("e", "a")])
     target = spark.createDataFrame([("r", "a"), ("r", None)], "repo string, target string")
-    for small in (graph.SMALL, 0):
-        assert sorted((r.depth, r.node) for r in graph.impact(chain, target, small=small).collect()) == [(1, "b"), (1, "e"), (2, "c"), (3, "d")]
-        assert sorted(r.node for r in graph.impact(chain, target, most_depth=1, small=small).collect()) == ["b", "e"]
+    for size_of_block in (graph.BLOCK_EDGES, 1):
+        assert sorted((r.depth, r.node) for r in graph.impact(chain, target, block_edges=size_of_block).collect()) == [(1, "b"), (1, "e"), (2, "c"), (3, "d")]
+        assert sorted(r.node for r in graph.impact(chain, target, most_depth=1, block_edges=size_of_block).collect()) == ["b", "e"]
     none = spark.createDataFrame([], "repo string, src string, dst string")
     assert graph.closure(none).count() == graph.components(none).count() == graph.impact(none, target).count() == 0
 
@@ -77,11 +77,19 @@ def test_impact_queries_have_no_depth_limit(spark, tmp_path):
     found = [(r.target, r.node, r.depth) for r in codemap.map_impact_all(spark, str(tmp_path)).collect()]
     assert len(found) == len(want) and set(found) == want
     pairs = edges(spark, [(a, "m/x.go" if b == "m" else b) for a, b in steps])
-    for small in (graph.SMALL, 0):  # targets in blocks of 7, and the distributed way
-        found = [(r.target, r.node, r.depth) for r in graph.impact(pairs, pairs.selectExpr("repo", "dst as target"), small=small, few=7).collect()]
+    for size_of_block in (graph.BLOCK_EDGES, 20):  # one block of edges, and several
+        found = [(r.target, r.node, r.depth) for r in graph.impact(pairs, pairs.selectExpr("repo", "dst as target"), block_edges=size_of_block, block_targets=7).collect()]
         assert len(found) == len(want) and set(found) == want
 
 
+def test_a_node_with_more_edges_than_a_block(spark):
+    pairs = [(f"u{i:03}", "hub") for i in range(60)] + [("hub", "base"), ("x", "u007")]
+    table = spark.createDataFrame([("r", "hub"), ("r", "base"), ("r", "u007")], "repo string, node string")
+    assert {r.node: r.blast for r in graph.blast_radius(edges(spark, pairs), table, 10, 16).collect()} == {"hub": 61, "base": 62, "u007": 1}
+    found = graph.impact(edges(spark, pairs), spark.createDataFrame([("r", "base")], "repo string, target string"), block_edges=10).collect()
+    assert len(found) == 62 and {r.node: r.depth for r in found}["x"] == 3
+
+
 def test_directory_targets(spark):
     files = spark.createDataFrame([("r", p) for p in ("m/a.go", "m/b.go", "main.go", "x.go")], "repo string, path string")
     rows = [("main.go", "m", "import"), ("main.go", "m", "import"), ("main.go", "ext:fmt", "import"), ("x.go", "main.go", "reexport"), ("m/a.go", "m", "import"), ("x.go", ".", "call")]
