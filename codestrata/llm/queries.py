@@ -26,6 +26,11 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unparsable.invalid_rates(table(spark, sf_dir, "files"), table(spark, sf_dir, "build_results"))
 
 
+def p5_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What it takes to repair each file that is not valid, where, and why."""
+    return unparsable.checked_files(table(spark, sf_dir, "files")).where("edit_cost > 0")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -49,7 +54,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_origins, p5_found, p5_rates, p6_found, p6_items, p7_mixture, p7_shares, p8_found)}
+    return {f.__name__: f for f in (p3_found, p3_origins, p5_found, p5_rates, p5_repairs, p6_found, p6_items, p7_mixture, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
