@@ -7,6 +7,7 @@ aggregated row per bucket across buckets, so a task holds one bucket of a key at
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,14 +39,15 @@ def previous_row(df: DataFrame, keys: list[str], order: list[str], bucket: Colum
 
 
 def first_after(
-    points: DataFrame, marks: DataFrame, keys: list[str], point_at: str, mark_at: str, values: list[str], out: str, bucket: str = "day"
+    points: DataFrame, marks: DataFrame, keys: list[str], point_at: str, mark_at: str, values: list[str], out: str, bucket: str | Callable[[Column], Column] = "day"
 ) -> DataFrame:
     """As-of join forward: for each point the first mark of the same keys strictly after it.
 
     Adds `out`, a struct of the mark's `values`, null where no later mark exists. Of marks at the
-    same instant the one with the smallest `values` is taken. Rows with a null key or time get null.
+    same instant the one with the smallest `values` is taken. Rows with a null key or time get null. `bucket` is
+    the unit of time, or a function that does not decrease, by which hot keys are split.
     """
-    at = F.date_trunc(bucket, F.col("__at"))
+    at = F.date_trunc(bucket, F.col("__at")) if isinstance(bucket, str) else bucket(F.col("__at"))
     mark_value = F.struct(*values)
     p = points.withColumns({"__at": F.col(point_at), "__mark": F.lit(None).cast(marks.select(mark_value).schema[0].dataType), "__tag": F.lit(0)})
     m = (

@@ -8,12 +8,18 @@ range of sequence numbers; the run handles that range minus the intervals alread
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.operators.bucketed import first_after, previous_row
+from codestrata.session import checkpoint_folder, checkpointed
+
+DAY = 86_400_000_000  # microseconds
+FIRST = -(1 << 62)  # before every instant
 
 
 def merge_intervals(intervals: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi", bucket: int = 1_000_000) -> DataFrame:
@@ -73,16 +79,19 @@ def successful_runs(runs: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def run_gaps(runs: DataFrame) -> DataFrame:
-    """The arrival interval [lo, hi) that each successful run has to process.
+    """(checkout_id, run_id, lo, hi): the numbers [lo, hi) that each successful run has to process, in microseconds.
 
-    A run may read everything before its start; earlier successful runs of the checkout have
-    processed everything before theirs. Available minus processed is the gap between the two
-    starts; lo is null for the first run (nothing processed yet). Of runs with the same start
-    the lowest run_id takes the gap, the others get none.
+    Available to a run is everything that arrived before its start. Processed are the ranges of the successful runs of
+    the checkout before it, which merge into one interval up to the start before; available minus processed is the
+    run's gap. Of runs with the same start the lowest run_id takes the gap, the others get none.
     """
-    starts = runs.groupBy("checkout_id", F.col("started_at").alias("hi")).agg(F.min("run_id").alias("run_id"))
-    gaps = previous_row(starts, ["checkout_id"], ["hi"], F.date_trunc("month", "hi"), ["hi"], "__before")
-    return gaps.select("checkout_id", "run_id", F.col("__before.hi").alias("lo"), "hi")
+    starts = checkpointed(runs.groupBy("checkout_id", F.unix_micros(F.col("started_at").cast("timestamp")).alias("hi")).agg(F.min("run_id").alias("run_id")))
+    keys = ["checkout_id", "run_id"]
+    available = starts.select(*keys, F.lit(FIRST).alias("lo"), "hi")
+    month = F.floor(F.col("hi") / (30 * DAY))
+    before = previous_row(starts, ["checkout_id"], ["hi"], month, ["hi"], "__before").where("__before is not null")
+    processed = before.select(*keys, F.lit(FIRST).alias("lo"), F.col("__before.hi").alias("hi"))
+    return subtract_intervals(available, processed, keys)
 
 
 def effective_changes(changes: DataFrame) -> DataFrame:
@@ -101,18 +110,41 @@ def effective_changes(changes: DataFrame) -> DataFrame:
     first = base.groupBy("checkout_id", "path", "commit_sha", F.when(F.col("commit_sha").isNull(), F.col("change_id")).alias("__own")).agg(
         F.min(arrival).alias("__first")
     )
-    rows = first.select("checkout_id", "path", "__first.*").withColumn("__there", F.lit(True))
+    # cut here: the look-back below meets these rows twice
+    rows = checkpointed(first.select("checkout_id", "path", "__first.*").withColumn("__there", F.lit(True)))
     seen = previous_row(rows, ["checkout_id", "path"], ["arrived_at", "change_id"], F.date_trunc("day", "arrived_at"), ["__there", "content_sha"], "__before")
     same = F.col("__before.__there").isNotNull() & F.col("content_sha").eqNullSafe(F.col("__before.content_sha"))
     return seen.where(~same).select("checkout_id", "path", "change_id", "content_sha", "arrived_at")
 
 
-def changes_per_run(changes: DataFrame, runs: DataFrame, states: DataFrame) -> DataFrame:
-    """(run_id, change_id): what each successful run has to handle, every change exactly once."""
-    gaps = run_gaps(successful_runs(runs, states))
-    found = first_after(effective_changes(changes), gaps, ["checkout_id"], "arrived_at", "hi", ["hi", "lo", "run_id"], "__gap")
-    inside = F.col("__gap").isNotNull() & (F.col("__gap.lo").isNull() | (F.col("__gap.lo") <= F.col("arrived_at")))
-    return found.where(inside).select(F.col("__gap.run_id").alias("run_id"), "change_id")
+def in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, values: list[str], width: int, out: str) -> DataFrame:
+    """Add `out`, a struct of the `values` of the interval [lo, hi) that holds each point; null where none does.
+
+    The intervals of a key must be disjoint. `width` is the stretch of numbers by which hot keys are split.
+    """
+    found = first_after(points, intervals.withColumn("__hi", F.col("hi")), keys, at, "__hi", ["__hi", "lo", *values], "__hit", lambda c: F.floor(c / width))
+    inside = F.col("__hit").isNotNull() & (F.col("__hit.lo") <= F.col(at))
+    return found.withColumn(out, F.when(inside, F.struct(*[F.col(f"__hit.{v}").alias(v) for v in values]))).drop("__hit")
+
+
+def handled_per_run(changes: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(run_id, change_id): the effective changes whose arrival lies in a run's gap, every change exactly once."""
+    points = effective_changes(changes).withColumn("__at", F.unix_micros(F.col("arrived_at").cast("timestamp")))
+    found = in_intervals(points, gaps, ["checkout_id"], "__at", ["run_id"], DAY, "__gap")
+    return found.where("__gap is not null").select(F.col("__gap.run_id").alias("run_id"), "change_id")
+
+
+def changes_per_run(changes: DataFrame, runs: DataFrame, states: DataFrame, root: str | None = None) -> DataFrame:
+    """(run_id, change_id): what each successful run has to handle, read back from a ledger that committed it.
+
+    The ledger under `root` (by default a new one in the shared checkpoint folder) gets the output together with the
+    processed intervals of each checkout, the merged gaps of its runs; gaps that it holds already are not handled again.
+    """
+    spark = changes.sparkSession
+    ledger = IncrementalLedger(spark, root or f"{checkpoint_folder(spark)}/ledger-{uuid.uuid4().hex}", ["checkout_id"], "at")
+    gaps = checkpointed(run_gaps(successful_runs(runs, states)))
+    ledger.commit(handled_per_run(changes, ledger.open_gaps(gaps)), gaps.select("checkout_id", "lo", "hi"))
+    return ledger.output()
 
 
 class ConcurrentCommit(RuntimeError):
@@ -127,8 +159,9 @@ class IncrementalLedger:
     leaves unreferenced folders and no effect, so nothing is skipped and nothing repeated.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], seq: str):
-        self.spark, self.root, self.keys, self.seq = spark, root.rstrip("/"), keys, seq
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], seq: str, width: int = 1_000_000):
+        """`width` is the stretch of sequence numbers of a key that one task may look up."""
+        self.spark, self.root, self.keys, self.seq, self.width = spark, root.rstrip("/"), keys, seq, width
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -161,13 +194,18 @@ class IncrementalLedger:
         done = self.intervals()
         if done is None:
             return rows
-        # sequence numbers are mapped to instants so that hot keys split into buckets of the order
-        at = F.timestamp_micros(F.col(self.seq))
-        points = rows.withColumn("__p", at)
-        marks = done.select(*self.keys, "lo", F.timestamp_micros("hi").alias("__h"))
-        found = first_after(points, marks, self.keys, "__p", "__h", ["__h", "lo"], "__hit")
-        covered = F.col("__hit").isNotNull() & (F.col("__hit.lo") <= F.col(self.seq))
-        return found.where(~covered).drop("__p", "__hit")
+        found = in_intervals(rows, done.withColumn("__there", F.lit(True)), self.keys, self.seq, ["__there"], self.width, "__hit")
+        return found.where("__hit is null").drop("__hit")
+
+    def open_gaps(self, ranges: DataFrame) -> DataFrame:
+        """`ranges` (keys, lo, hi and more columns), each cut to what no processed interval covers."""
+        done = self.intervals()
+        if done is None:
+            return ranges
+        more = [c for c in ranges.columns if c not in (*self.keys, "lo", "hi")]
+        ranges = checkpointed(ranges)
+        covered = ranges.select(*self.keys, *more).join(done.select(*self.keys, "lo", "hi"), self.keys)
+        return subtract_intervals(ranges, covered, [*self.keys, *more])
 
     def commit(self, output: DataFrame, handled: DataFrame) -> int:
         """Publish `output` and the intervals (keys, lo, hi) it covers; returns the new version."""
@@ -179,7 +217,14 @@ class IncrementalLedger:
         merged.write.parquet(f"{self.root}/intervals/{run}")
         entry = {"outputs": [*self._manifest(base)["outputs"], run], "intervals": run}
         self._fs.mkdirs(self._path("manifest"))
-        staged, final = self._path("manifest", f".{run}.tmp"), self._path("manifest", f"{base + 1}.json")
+        final = self._path("manifest", f"{base + 1}.json")
+        claim = self._path("manifest", f"{base + 1}.claim")
+        try:  # creating without overwriting is atomic: of two writers of a version one fails here
+            self._fs.create(claim, False).close()
+        except Py4JJavaError as error:
+            if self._fs.exists(final) or self._age(claim) < self.stale_ms:
+                raise ConcurrentCommit(f"version {base + 1} of {self.root} is taken") from error
+        staged = self._path("manifest", f".{run}.tmp")
         stream = self._fs.create(staged, False)
         stream.write(bytearray(json.dumps(entry).encode()))
         stream.close()
@@ -187,3 +232,8 @@ class IncrementalLedger:
             self._fs.delete(staged, False)
             raise ConcurrentCommit(f"version {base + 1} of {self.root} exists already")
         return base + 1
+
+    stale_ms = 600_000  # a claim without its manifest that is older than this was left by a writer that died
+
+    def _age(self, path) -> float:
+        return time.time() * 1000 - self._fs.getFileStatus(path).getModificationTime()

@@ -42,8 +42,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes that no successful run has handled yet."""
-    changes = incremental.effective_changes(table(spark, sf_dir, "file_changes"))
-    return changes.join(p4_found(spark, sf_dir).select("change_id"), "change_id", "left_anti").select("checkout_id", "change_id", F.col("path"))
+    changes, runs, states = (table(spark, sf_dir, n) for n in ("file_changes", "update_runs", "sync_states"))
+    gaps = incremental.run_gaps(incremental.successful_runs(runs, states))
+    processed = incremental.merge_intervals(gaps, ["checkout_id"], bucket=incremental.DAY).withColumn("there", F.lit(True))
+    rows = incremental.effective_changes(changes).withColumn("__at", F.unix_micros(F.col("arrived_at").cast("timestamp")))
+    found = incremental.in_intervals(rows, processed, ["checkout_id"], "__at", ["there"], incremental.DAY, "__done")
+    return found.where("__done is null").select("checkout_id", "change_id", "path")
 
 
 _P4 = """

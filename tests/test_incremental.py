@@ -91,6 +91,29 @@ def test_ledger_takes_late_rows_and_survives_dead_runs(spark, tmp_path):
     assert ledger.pending(rows(1, 2, 3, 5, 9)).count() == 0
 
 
+def test_runs_that_the_ledger_holds_are_not_handled_again(spark, tmp_path):
+    root = str(tmp_path / "l")
+    changes = [(i, 1, f"p{i}", None, "x", at(i)) for i in range(6)]
+    states = [(i, i, "s", True) for i in range(3)]
+    table = lambda n: spark.createDataFrame([(*c, "clash", 0) for c in changes[:n]], CHANGES)
+    runs = [(0, 1, at(2), 1), (1, 1, at(4), 1), (2, 1, at(9), 1)]
+    make = lambda n: (spark.createDataFrame(runs[:n], RUNS), spark.createDataFrame(states[:n], STATES))
+    assert inc.changes_per_run(table(4), *make(2), root).count() == 4
+    spark.createDataFrame([(9, 9)], "run_id long, change_id long").write.parquet(f"{root}/output/dead")  # died between output and manifest
+    assert sorted(map(tuple, inc.changes_per_run(table(6), *make(3), root).collect())) == [(0, 0), (0, 1), (1, 2), (1, 3), (2, 4), (2, 5)]
+
+
+def test_a_claim_left_by_a_dead_writer_is_taken_over(spark, tmp_path):
+    ledger = inc.IncrementalLedger(spark, str(tmp_path / "l"), ["k"], "seq")
+    (tmp_path / "l" / "manifest").mkdir(parents=True)
+    (tmp_path / "l" / "manifest" / "1.claim").write_text("")
+    one, covered = spark.createDataFrame([("a", 1)], "k string, seq long"), spark.createDataFrame([("a", 1, 2)], "k string, lo long, hi long")
+    with pytest.raises(inc.ConcurrentCommit):
+        ledger.commit(one, covered)
+    ledger.stale_ms = -1
+    assert ledger.commit(one, covered) == 1
+
+
 def test_concurrent_commit_is_refused(spark, tmp_path):
     ledger = inc.IncrementalLedger(spark, str(tmp_path / "l"), ["k"], "seq")
     one = spark.createDataFrame([("a", 1)], "k string, seq long")
