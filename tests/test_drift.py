@@ -80,6 +80,32 @@ def test_flooding_agrees_with_the_definition():
         assert drift.schema_changes(old, new) == brute(old, new)
 
 
+def test_scores_decide_where_several_fields_go_and_come():
+    old = {"b_cpu": "number", "a_mem": "number", "p": "object", "p.u": "string", "p.v": "string", "q": "object", "q.w": "string", "s.t": "number"}
+    new = {"cpu_x": "number", "mem_y": "number", "r": "object", "r.w": "string", "z": "object", "z.u": "string", "z.v": "string", "k.t": "number"}
+    old |= {"s": "object", "k": "object"}
+    new |= {"s": "object", "k": "object"}
+    right = {"b_cpu": "cpu_x", "a_mem": "mem_y", "p": "z", "p.u": "z.u", "p.v": "z.v", "q": "r", "q.w": "r.w", "s": "s", "k": "k", "s.t": "k.t"}
+    assert drift.correspondences(old, new) == right
+    told = drift.matched_changes(old, new, right)
+    assert sorted(told) == [("moved", "s.t", "k.t"), ("renamed", "a_mem", "mem_y"), ("renamed", "b_cpu", "cpu_x"), ("renamed", "p", "z"), ("renamed", "q", "r")]
+    flat = dict.fromkeys(drift.flood(old, new), 0.0)
+    assert drift.correspondences(old, new, flat) != right  # without the scores the choice is another
+    rng = random.Random(2)
+    assert any(drift.correspondences(old, new, {p: rng.random() for p in flat}) != right for _ in range(5))
+    assert ("removed", "p", "") in drift.schema_changes(old, new)  # the report's exact check splits what is not single
+
+
+def test_names_are_unified_per_series_and_never_within_a_record(spark):
+    files = [("a", "s", [{"x": 1, "k": 5}]), ("b", "s", [{"y": 2, "k": 5}]), ("c", "t", [{"y": 3, "k": 5}]), ("d", "u", [{"x": 1}]), ("e", "u", [{"y": 1}]), ("f", "u", [{"x": 1, "y": 2}])]
+    got = {(r.record_id, r.field, r.text) for r in drift.consistent_table(table(spark, files)).collect()}
+    assert got == {(1, "x", "1"), (1, "k", "5"), (2, "x", "2"), (2, "k", "5"), (3, "y", "3"), (3, "k", "5"), (4, "x", "1"), (5, "y", "1"), (6, "x", "1"), (6, "y", "2")}
+    wide = {r.record_id: (r.x, r.y, r.k) for r in drift.wide_table(drift.consistent_table(table(spark, files))).collect()}
+    assert wide[2] == (2.0, None, 5.0) and wide[6] == (1.0, 2.0, None)
+    twice = table(spark, files[:1]).unionByName(table(spark, files[:1]).selectExpr("record_id + 100 as record_id", "* except (record_id)"))
+    assert {r.record_id for r in drift.consistent_table(twice).collect()} == {1}
+
+
 def test_consistent_table_unifies_names_and_keeps_text(spark):
     files = [("a", "s", [{"gate": {"passed": "7"}}]), ("b", "s", [{"gate": {"ok": "8"}}]), ("c", "s", [{"gate": {"ok": True}}])]
     rows = {(r.record_id, r.field, r.text, r.number, r.flag) for r in drift.consistent_table(table(spark, files)).collect()}
