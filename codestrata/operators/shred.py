@@ -80,6 +80,24 @@ def valid_records(raw: DataFrame) -> DataFrame:
     return rows.join(keep, "record_id", "left_semi")
 
 
+def first_deliveries(raw: DataFrame, valid: DataFrame) -> DataFrame:
+    """(record_id): of the rows of raw whose record_id is in `valid`, the lowest of each file_name and line_no.
+
+    A row with a null file_name or line_no is its own group. Payloads are not read.
+    """
+    lines = raw.select("record_id", "file_name", "line_no").join(valid.select("record_id").distinct(), "record_id", "left_semi")
+    own = F.when(F.col("file_name").isNull() | F.col("line_no").isNull(), F.col("record_id"))
+    return lines.groupBy("file_name", "line_no", own.alias("__own")).agg(F.min("record_id").alias("record_id")).select("record_id")
+
+
+def valid_nodes(raw: DataFrame) -> DataFrame:
+    """The adjacency table of the valid records, re-delivered lines once. Payloads are parsed once, and the table is
+    checkpointed, as its entity tables read it several times."""
+    rows = spread(raw.select("record_id", "payload").where("record_id is not null and payload is not null"))
+    nodes = checkpointed(shred(rows))
+    return nodes.join(first_deliveries(raw, nodes.where("node = 0")), "record_id", "left_semi")
+
+
 def shred(records: DataFrame) -> DataFrame:
     """The adjacency table of records (record_id, payload): one row per JSON value.
 
@@ -164,8 +182,10 @@ def nested_children(raw: DataFrame) -> DataFrame:
     payloads are parsed once although objects are looked up from their children.
     """
     is_cpu = (F.col("owner_label") == "machine") & _is_cpu_label(F.col("label")) & ~F.col("kind").isin("array", "null")
-    found = entities(shred(valid_records(raw)), {"file": "string", "index": "int", "code": "string"}, also=is_cpu)
-    found = checkpointed(found.where(F.expr("file is not null or `index` is not null or code is not null") | is_cpu))
+    rows = spread(raw.select("record_id", "payload").where("record_id is not null and payload is not null"))
+    found = entities(shred(rows), {"file": "string", "index": "int", "code": "string"}, also=is_cpu)
+    found = checkpointed(found.where(F.expr("node = 0 or file is not null or `index` is not null or code is not null") | is_cpu))
+    found = found.join(first_deliveries(raw, found.where("node = 0")), "record_id", "left_semi")
     place = F.when(F.col("in_array"), F.col("ordinal")).otherwise(1).alias("item_no")
     up = found.select("record_id", F.col("node").alias("owner"), F.col("owner").alias("__up"), F.col("file").alias("__up_file"), F.col("index").alias("__up_index"))
     top = found.where("file is not null").select("record_id", F.col("node").alias("__up"), F.col("file").alias("__top_file"))

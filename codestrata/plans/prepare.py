@@ -30,16 +30,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred.fences(shred.shred(shred.valid_records(table(spark, sf_dir, "bench_raw"))))
+    """The fences of each record, with what is said of them."""
+    return shred.fences(shred.valid_nodes(table(spark, sf_dir, "bench_raw"))).drop("node")
 
 
 def p2_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = shred.shred(shred.valid_records(table(spark, sf_dir, "bench_raw")))
-    return shred.problems(nodes, shred.fences(nodes))
+    """The problems of each fence, linked to it by record, file and index."""
+    nodes = shred.valid_nodes(table(spark, sf_dir, "bench_raw"))
+    return shred.problems(nodes, shred.fences(nodes)).drop("fence_node")
 
 
 def p2_cpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred.cpus(shred.shred(shred.valid_records(table(spark, sf_dir, "bench_raw"))))
+    return shred.cpus(shred.valid_nodes(table(spark, sf_dir, "bench_raw")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +76,7 @@ with ok as (
 """
 
 
-_P2 = """
+_P2_BASE = """
 with v as (
   select min(record_id) as record_id from bench_raw where json_valid(payload) and json_type(payload) = 'OBJECT' group by file_name, line_no
 ), r as (
@@ -85,13 +87,29 @@ with v as (
   select record_id, unnest(case json_type(dg -> 'byFence') when 'OBJECT' then [dg -> 'byFence'] when 'ARRAY' then from_json(dg -> 'byFence', '["json"]') end) as x from d
 ), h as (
   select record_id, x ->> 'file' as file, unnest(case when json_type(x -> 'fences') = 'ARRAY' then from_json(x -> 'fences', '["json"]') else [x] end) as y from g
-), p as (
-  select record_id, file, (y ->> 'index')::int as fence_index, case when json_type(y -> 'problems') = 'ARRAY' then json_array_length(y -> 'problems')::int else 0 end as n from h
+), q as (
+  select record_id, file, (y ->> 'index')::int as fence_index, case when json_type(y -> 'problems') = 'ARRAY' then from_json(y -> 'problems', '["json"]') else [] end as zs from h
+), z as (
+  select record_id, file, fence_index, unnest(zs) as z, unnest(range(1, len(zs) + 1))::int as item_no from q
 ), c as (
   select record_id, unnest([m -> 'cpu', m -> 'cpuModel', m -> 'processor']) as x from d
-), k as (
-  select record_id, case json_type(x) when 'ARRAY' then json_array_length(x)::int else 1 end as n from c where x is not null and json_type(x) <> 'NULL'
+), u as (
+  select record_id, case json_type(x) when 'ARRAY' then from_json(x, '["json"]') else [x] end as xs from c where x is not null and json_type(x) <> 'NULL'
+), w as (
+  select record_id, unnest(xs) as x, unnest(range(1, len(xs) + 1))::int as item_no from u
 )
+"""
+_P2_FENCES = _P2_BASE + """
+select record_id, file, (y ->> 'index')::int as fence_index, y ->> 'checker' as checker, (y ->> 'ok')::boolean as ok,
+  coalesce(y ->> 'nodeCount', y ->> 'node_count', y ->> 'nNodes', y ->> 'nodes')::int as node_count from h
+"""
+_P2_PROBLEMS = _P2_BASE + """
+select record_id, file, fence_index, item_no, z ->> 'code' as code, coalesce(z ->> 'line', z -> 'at' ->> 'line')::int as line, coalesce(z ->> 'col', z -> 'at' ->> 'col')::int as col from z
+"""
+_P2_CPUS = _P2_BASE + """
+select record_id, item_no, case when json_type(x) = 'OBJECT' then x ->> 'model' else x ->> '$' end as model, case when json_type(x) = 'OBJECT' then try_cast(x ->> 'speed' as double) end as speed from w
+"""
+_P2 = _P2_BASE + """, p as (select record_id, file, fence_index, len(zs)::int as n from q), k as (select record_id, len(xs)::int as n from u)
 select record_id, 'fence' as child, file, fence_index, 0 as item_no from p
 union all select record_id, 'problem', file, fence_index, unnest(range(1, n + 1))::int from p
 union all select record_id, 'cpu', '', 0, unnest(range(1, n + 1))::int from k
@@ -105,6 +123,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _P2,
+        "p2_fences": _P2_FENCES,
+        "p2_problems": _P2_PROBLEMS,
+        "p2_cpus": _P2_CPUS,
         "p4_found": _P4 + "select run_id, change_id from assigned",
         "p4_pending": _P4 + "select checkout_id, change_id, path from changed where change_id not in (select change_id from assigned)",
     }
