@@ -40,9 +40,8 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents stand in which shard of the mixture, and how often."""
-    mixed = mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
-    return mixed.select("doc_id", "source", "copy", "shard", "place")
+    """The mixed corpus: every document's columns, its shard and its place there, copies and all."""
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,27 @@ def test_splitting_tree_is_exact_and_fair():
     assert np.allclose(totals / 300, counts / 8, rtol=0.15, atol=0.15)
 
 
+def test_subtrees_deal_the_same_exact_quotas():
+    counts = np.array([50, 7, 0, 300])
+    for shards, leaves in ((8, 3), (37, 4), (5, 9)):
+        top = M.split_quotas(counts, shards, np.random.default_rng(1), leaves=leaves)
+        bounds = M._leaf_bounds(shards, leaves)
+        assert len(bounds) == len(top) and [b[0] for b in bounds[1:]] == [b[1] for b in bounds[:-1]]
+        out = np.concatenate([M.split_quotas(own, hi - lo, np.random.default_rng(lo), lo, hi, shards, 357) for own, (lo, hi) in zip(top, bounds)])
+        assert out.shape == (shards, 4) and (out.sum(axis=0) == counts).all() and np.ptp(out.sum(axis=1)) <= 1
+
+
+def test_a_tiny_source_without_cap_keeps_the_plan_small(spark):
+    rows = [(i, "big", "word " * 50, "x", 1) for i in range(200)] + [(1000, "tiny", "word " * 3, "x", 1), (1001, "tiny", "word " * 4, "x", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    targets = spark.createDataFrame([("big", 0.5, 1, "x"), ("tiny", 0.5, None, "x")], TARGETS)
+    plan = M.plan_mixture(M.token_counts(docs), M.clean_targets(targets), shards=4, blocks=16)
+    assert plan.draws.count() <= 16 + 2
+    assert plan.stretches.select("source", "shard").distinct().count() <= 2 * 4
+    shares = {r.source: r for r in M.shares_reached(docs, targets, shards=4, blocks=16).collect()}
+    assert shares["tiny"].copies > 500 and shares["tiny"].tokens == pytest.approx(shares["tiny"].quota_tokens, abs=8)
+
+
 def test_mixture_meets_shares_and_caps(spark):
     docs = documents(spark)
     targets = spark.createDataFrame([("BIG", 0.4, 1, "x"), ("big ", 0.4, 2, "x"), ("mid-dle", 0.3, None, "x"), ("small", 0.3, 2, "x"), ("gone", 0.2, 1, "x"), ("zero", 0.0, 1, "x"), (None, 0.5, 1, "x"), ("null", None, 1, "x")], TARGETS)
