@@ -20,23 +20,23 @@ from pyspark.sql import functions as F
 
 from codestrata.session import checkpointed, spread
 
-# Wordings of notices, lower case. A comment with one of the first is generated (or third-party)
-# on its own; hints count only two at a time in a line; a comment with a denial never counts.
-GENERATED = (
-    "code generated by", "@generated", "<auto-generated", "autogenerated file", "auto-generated file", "auto generated file",
-    "machine made", "machine generated", "machine-generated", "created automatically by", "file is generated", "file was generated",
-    "file is automatically generated", "automatically generated by", "automatically generated from", "autogenerated by",
-    "auto-generated by", "changes are overwritten", "changes will be overwritten", "changes will be lost", "edits will be lost",
-    "produced by `", "generated by the protocol buffer compiler", "generated by django", "generated by swagger", "this is generated code",
+# The words notices are made of, lower case. What counts is their place in the sentence: a notice says of
+# its own file, at the head of a clause, how it came about.
+MADE = (  # enough on their own
+    "@generated", "<auto-generated", "<autogenerated", "autogenerated", "auto-generated", "auto generated", "automatically generated", "machine generated", "machine-generated",
+    "machine made", "machine-made", "machine written", "machine-written", "created automatically", "automatically created", "generated automatically", "generated",
 )
-HINTS = ("do not edit", "don't edit", "do not modify", "generated by", "generated from", "regenerate", "source:", "from the schema", "refresh this file")
-DENIALS = ("not generated", "were generated by", "was generated by other", "generated by other", "only calls it", "on top of its output", "helpers for")
-VENDORED = (
-    "bundled dependency", "@license ", "distribution, release", "taken from its release archive", "keep in step with upstream",
-    "vendored from", "copied verbatim from", "imported from upstream", "third-party code from", "local patches:",
+MADE_BY = ("produced", "created", "emitted", "written", "rendered", "compiled", "transpiled", "built")  # only with a tool or a ban beside them
+BANS = (
+    "do not edit", "don't edit", "do not modify", "don't modify", "do not change", "not edit by hand", "manual changes", "manual edits", "hand edits", "changes are overwritten", "changes will be",
+    "edits will be", "edits are", "regenerate",
+)
+TAKEN = ("bundled", "vendored", "copied", "copy of", "snapshot of", "imported", "mirrored", "mirror of", "taken", "@license", "@preserve", "third-party", "third party")
+_ROLES = {"made": MADE, "made_by": MADE_BY, "ban": BANS, "taken": TAKEN}
+# words that may stand before the participle, in a sentence about the file itself
+SUBJECT = (
+    "this", "the", "file", "code", "source", "module", "script", "class", "package", "header", "whole", "is", "was", "are", "has", "been", "a", "an", "all", "contents", "content", "here", "note", "warning", "attention",
 )
-VENDORED_DENIALS = ("replaces the vendored", "no longer vendored", "we used to carry")
-_KINDS = {"generated": GENERATED, "hint": HINTS, "denial": DENIALS, "vendored": VENDORED, "vendored_denial": VENDORED_DENIALS}
 
 _VENDOR_PATH = r"(^|/)(node_modules|vendor|third_party|third-party|thirdparty|_vendor|vendored|bower_components|jspm_packages|Godeps|Pods|site-packages)/|^(external|deps)/"
 _GENERATED_PATH = (
@@ -56,9 +56,9 @@ _LICENCE_LINE = re.compile(r"^\W*(?:released|licensed|distributed) under the .*l
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
-    for kind, wordings in _KINDS.items():
+    for role, wordings in _ROLES.items():
         for wording in wordings:
-            automaton.add_word(wording, (kind, wording))
+            automaton.add_word(wording, (role, wording))
     automaton.make_automaton()
     return automaton
 
@@ -66,32 +66,66 @@ def _automaton() -> ahocorasick.Automaton:
 def comments_around(source: str) -> list[str]:
     """The lines of the comments before the first code and after the last."""
     head = _COMMENT_HEAD.match(source)
-    lines = source[: head.end()].splitlines() if head else []
+    end = head.end() if head else 0
     tail: list[str] = []
-    for line in reversed(source[len(head.group()) if head else 0 :].rstrip().splitlines()[-20:]):
-        if not _COMMENT_LINE.match(line):
+    stop = len(source.rstrip())
+    while stop > end:
+        start = max(end, source.rfind("\n", end, stop) + 1)
+        if not _COMMENT_LINE.match(source[start:stop]):
             break
-        tail.append(line)
-    return lines + tail[::-1]
+        tail.append(source[start:stop])
+        stop = start - 1
+    return source[:end].splitlines() + tail[::-1]
+
+
+_DECORATION = re.compile(r"^[\s/#*!;<>=\-\"']+|^\(c\)\s*")
+_VERSION = re.compile(r"(?<![\w.])v?\d+\.\d+|@v?\d+(?:\.\d+)?")
+_SOURCE_OF_COPY = re.compile(r"\bfrom\s+(?:https?://|upstream\b|[\w-]+(?:\.[\w-]+)+/)")
+_AFTER_MADE = re.compile(r"\s*(?:$|[-!<>*.,;:(]|(?:by|from|with|using|via|on|at|for|file|code|source|header|module|output|stub|do)\b)(?!\s*hand\b)")
+_TOOL = re.compile(r"\s*(?:automatically\s+)?(?:by|with|using|via)\s+(?:the\s+)?(?:`[^`]+`|[\w./-]+\s+v?\d+\.\d|[\w./-]*(?:generator|compiler|gen)\b)|\s*(?:automatically\s+)?from\s+[\w./-]+\.\w+")
+
+
+def _heads_a_clause(line: str, at: int) -> bool:
+    """Whether nothing but words for the file itself stands between the start of the clause and `at`."""
+    before = line[:at]
+    clause = before
+    for match in re.finditer(r"[.;:!]+\s+|\s[-\u2013\u2014]+\s|,\s+|\(", before):
+        clause = before[match.end() :]
+    return all(word in SUBJECT for word in re.findall(r"[^\s/#*!<>=\"'-]+", clause))
 
 
 def notices(source: str) -> tuple[bool, bool]:
-    """(generated, vendored) as the comments around the code declare it."""
-    generated = vendored = release = owner = licence = False
+    """(generated, vendored) as the comments around the code declare it.
+
+    One automaton finds the words of notices in a line. They count where they head a clause, so that text about other
+    generated files, and denials ("not generated", "replaces the vendored ..."), are no notices. What was produced or
+    written needs the tool that did it, or a ban on edits, in the same comment; a copy needs its version or its source.
+    """
+    generated = vendored = weak = ban = False
+    release = ""
     for line in comments_around(source):
-        line = line.lower()
-        found = Counter(kind for _, (kind, _) in _automaton().iter(line))
-        if not found["denial"] and (found["generated"] or found["hint"] >= 2):
-            generated = True
-        if found["vendored"] and not found["vendored_denial"]:
-            vendored = True
+        line = _DECORATION.sub("", line.lower()) if "<" not in line[:8] else line.lower().lstrip(" /#*")
+        for end, (role, wording) in _automaton().iter(line):
+            start = end - len(wording) + 1
+            if start and line[start - 1].isalnum() or not _heads_a_clause(line, start):
+                continue
+            rest = line[end + 1 :]
+            if rest[:1].isalnum() and role != "ban":
+                continue
+            if role == "made":
+                generated = generated or wording[0] in "@<" or bool(_AFTER_MADE.match(rest)) and (wording != "generated" or bool(re.match(r"\s*(?:by|from|with|using|via|on|at)\b", rest)))
+            elif role == "made_by":
+                generated = generated or bool(_TOOL.match(rest))
+                weak = weak or bool(re.match(r"\s*(?:automatically\s+)?(?:by|from|with|using)\b", rest))
+            elif role == "ban":
+                ban = True
+            else:
+                vendored = vendored or bool(_VERSION.search(rest) or _SOURCE_OF_COPY.search(rest))
         if match := _RELEASE_LINE.match(line):
             release = match.group(1)
-        elif release and _OWNER_LINE.match(line):
-            owner = release in line
-        elif release and _LICENCE_LINE.match(line):
-            licence = True
-    return generated, vendored or bool(release and (owner or licence))
+        elif release and (_OWNER_LINE.match(line) and release in line or _LICENCE_LINE.match(line)):
+            vendored = True
+    return generated or weak and ban, vendored
 
 
 _NUMBER = re.compile(r"\d+")
@@ -122,7 +156,7 @@ def shape(source: str) -> tuple[bool, bool, bool]:
             else:
                 literal += length
         data = literal >= 0.8 * max(1, len(_SOLID.findall(source)) - comment)
-    binary = any(c in source[:2000] for c in "\x00\x01\x02\x03�")
+    binary = any(c in source for c in "\x00\x01\x02\x03�")
     minified = not data and not binary and size / len(lines) > 120 and space / size < 0.12 and size > 300
     repetition = False
     blocks = [b for b in re.split(r"\n\s*\n", source.replace("\r\n", "\n")) if b.strip()]

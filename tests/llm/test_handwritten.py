@@ -47,3 +47,18 @@ def test_paths_copies_nulls_and_repeats(spark):
 
 def test_very_long_source(spark):
     assert flags(spark, [(1, "a.ts", CODE * 20_000)]) == {1: ""}
+
+
+def test_notices_by_their_place_in_the_sentence():
+    generated = [
+        "// Code generated by mockgen: helpers for the store package. DO NOT EDIT.\n", "/* eslint-disable */\n// This file was automatically generated by foo. Do not modify.\n", "# Generated by Django 4.2 on 2024\n",
+        "// Produced by `tool --out .` from a.json\n", "# Written by the exporter.\n# DO NOT EDIT\n", "<!-- <auto-generated> x </auto-generated> -->\n", "/* AUTO-GENERATED FILE - changes will be lost */\n",
+    ]
+    by_hand = [
+        "# Local patches: see wiki\n", "// Keep in step with upstream API when you change this client.\n", "# report produced by `make report` lands in out/\n", "// Produced by the billing team.\n",
+        "// Generated reports land in out/\n", "// This file is not generated.\n", "# Parses headers of generated files.\n", "// Replaces the vendored 1.2 parser.\n", "# Never do not edit lines away.\n", "# imported lazily, see PEP 690\n",
+    ]
+    assert [t for t in generated if not H.notices(t)[0]] == []
+    assert [t for t in by_hand if any(H.notices(t))] == []
+    assert [H.notices(f"// {t}\n")[1] for t in ("Vendored from https://example.test/x", "bundled dependency: x@1.2", "This is a snapshot of x 3.1")] == [True] * 3
+    assert H.notices("f();\n" + "// filler\n" * 40 + "// @generated by x\n" + "// filler\n" * 40)[0]  # a closing comment is read whole
