@@ -60,7 +60,8 @@ class _Reader:
                 self.match[stack.pop()] = i
         self.broken = bool(stack) or "ERR" in self.kinds
         self.facts: list[dict] = []
-        self.scopes: list[tuple[int, int, str]] = []  # token range and symbol path of functions
+        self.scopes: list[tuple[int, int, str]] = []  # token range and symbol path of functions and classes
+        self.typed: list[tuple[int, int]] = []  # token ranges that hold types only, so no calls
 
     def line(self, i: int) -> int:
         at = self.at[i] if i < self.size else len(self.text)
@@ -115,6 +116,8 @@ class _Reader:
             while start >= 2 and self.kinds[start - 1] in (".", "?.", "::") and self.kinds[start - 2] in ("ID", "this", "super", "self"):
                 parts.insert(0, self.word(start - 2))
                 start -= 2
+            if any(a <= i <= b for a, b in self.typed):
+                continue
             if start and self.kinds[start - 1] in (".", "?.", "::", "function", "func", "fn", "class"):
                 continue  # a member of something that is no plain name, or a declaration
             callee = ".".join("this" if p == "self" else p for p in parts[-2:])
@@ -221,8 +224,9 @@ def _script(r: _Reader, i: int = 0, stop: int | None = None, parent: str | None
             name = r.word(i + 1) if r.kinds[i + 1 : i + 2] == ["ID"] else "default"
             body = r.find(i + 1, ("{",), stop)
             last = r.match.get(body, body)
-            base = next((r.word(k + 1) for k in range(i, body) if r.words[k] == "extends"), None)
+            base = next((r.word(k + 1) + (f".{r.word(k + 3)}" if r.kinds[k + 2] == "." else "") for k in range(i, body) if r.words[k] == "extends"), None)
             r.declare(name, "class", first, body, last, exported, parent, extends=base)
+            _scope(r, f"{parent}.{name}" if parent else name, body, last)
             _members(r, body + 1, last, f"{parent}.{name}" if parent else name)
             i = last + 1
         elif word in ("interface", "enum", "namespace", "module") and r.kinds[i + 1 : i + 2] == ["ID"]:
@@ -230,12 +234,15 @@ def _script(r: _Reader, i: int = 0, stop: int | None = None, parent: str | None
             body = r.find(i + 1, ("{",), stop)
             last = r.match.get(body, body)
             r.declare(name, "namespace" if word in ("namespace", "module") else word, first, body, last, exported, parent)
+            if word == "interface":
+                r.typed.append((body, last))
             if word in ("namespace", "module"):
                 _script(r, body + 1, last, f"{parent}.{name}" if parent else name)
             i = last + 1
         elif word == "type" and r.kinds[i + 1 : i + 2] == ["ID"]:
             name, end = r.word(i + 1), r.end_of_statement(i, stop)
             r.declare(name, "type", first, r.find(i, ("=",), end), end - 1, exported, parent)
+            r.typed.append((i, end - 1))
             i = end
         elif word in ("const", "let", "var"):
             end = r.end_of_statement(i, stop)
@@ -281,6 +288,7 @@ def _members(r: _Reader, i: int, stop: int, parent: str) -> None:
                 _scope(r, f"{parent}.{name}", i, last)
                 i = last + 1
                 continue
+            r.add("member", name=name, parent=parent)  # a field: it hides what a base declares
             i = r.end_of_statement(i, stop)
         else:
             i = (r.match.get(i, i) if r.kinds[i] in _OPEN else i) + 1 if i < stop else stop
@@ -311,6 +319,7 @@ def _go(r: _Reader) -> None:
             last = r.match.get(body, body)
             r.declare(name, "method" if owner else "function", first, body, last, upper(name), owner)
             _scope(r, f"{owner}.{name}" if owner else name, k, last)
+            _go_locals(r, k + 1, body, last, f"{owner}.{name}" if owner else name)
             if not owner and upper(name):
                 r.add("export", name=name, kind="named", signature=name)
             i = last + 1
@@ -323,6 +332,8 @@ def _go(r: _Reader) -> None:
                     name = r.word(k)
                     end = r.find(k, (";",), stop)
                     kind = next((w for w in ("struct", "interface") if w in r.words[k:end]), "type") if word == "type" else word
+                    if kind == "interface":
+                        r.typed.append((k, end))
                     r.declare(name, kind, k if grouped else first, r.find(k, ("{", "=", ";"), end), end - 1, upper(name))
                     if upper(name):
                         r.add("export", name=name, kind="named", signature=name)
@@ -334,6 +345,40 @@ def _go(r: _Reader) -> None:
             i = r.match.get(i, i) + 1
 
 
+def _go_locals(r: _Reader, i: int, body: int, last: int, caller: str) -> None:
+    """Names that a Go function binds, with `type T` or `call f` where that is written down; they hide package names."""
+    note = lambda name, kind, text: r.add("local", caller=caller, name=name, kind=kind, callee=text and "".join(text.split()).lstrip("*&"))
+    close = r.match.get(i, i)
+    k, waiting = i + 1, []
+    while k < close:
+        end = r.find(k, (",",), close)
+        if r.kinds[k] == "ID":
+            if end - k == 1:
+                waiting.append(r.word(k))
+            else:
+                text = r.text[r.at[k + 1] : r.at[end]]
+                for name in [*waiting, r.word(k)]:
+                    note(name, "type", text)
+                waiting = []
+        k = end + 1
+    for j in range(body, last):
+        if r.kinds[j] == ":=":
+            names, k = [], j - 1
+            while k > body and r.kinds[k] == "ID":
+                names.insert(0, r.word(k))
+                k -= 2 if r.kinds[k - 1] == "," else 1
+                if r.kinds[k + 1] != ",":
+                    break
+            k = j + 1 + (r.kinds[j + 1] == "&")
+            end = k + 2 if r.kinds[k + 1 : k + 2] == ["."] else k
+            what = {"(": "call", "{": "type"}.get(r.kinds[end + 1]) if r.kinds[k] == "ID" and r.kinds[end] == "ID" else None
+            for place, name in enumerate(names):
+                note(name, what if place == 0 else None, r.text[r.at[k] : r.at[end + 1]] if what and place == 0 else None)
+        elif r.words[j] == "var" and r.kinds[j + 1] == "ID":
+            end = r.find(j, ("=", ";"), last)
+            note(r.word(j + 1), "type" if end > j + 2 else None, r.text[r.at[j + 2] : r.at[end]] if end > j + 2 else None)
+
+
 def _java(r: _Reader, i: int = 0, stop: int | None = None, parent: str | None = None, open_: bool = True) -> None:
     stop = r.size if stop is None else stop
     modifiers = frozenset("public protected private static abstract final native synchronized transient volatile strictfp default sealed".split())
@@ -587,11 +632,21 @@ def _dynamic(r: _Reader) -> None:
     for i in range(r.size - 2):
         if r.kinds[i + 1] == "(" and r.kinds[i + 2] == "STR" and r.kinds[i + 3 : i + 4] == [")"]:
             if r.words[i] == "import":
-                r.add("import", specifier=r.word(i + 2), import_kind="dynamic", symbols=["*"], locals=[], reexport=False, line=r.line(i))
+                names = _taken_apart(r, i)
+                r.add("import", specifier=r.word(i + 2), import_kind="dynamic", symbols=names or ["*"], locals=names, reexport=False, line=r.line(i))
             elif r.kinds[i] == "ID" and r.word(i) == "require":
                 r.add("import", specifier=r.word(i + 2), import_kind="static", symbols=["*"], locals=[], reexport=False, line=r.line(i))
 
 
+def _taken_apart(r: _Reader, i: int) -> list[str]:
+    """The names of `const { a, b } = await import(…)`, where token i is the import."""
+    k = i - 1 - (r.words[i - 1] == "await")
+    if k < 1 or r.kinds[k] != "=" or r.kinds[k - 1] != "}":
+        return []
+    open_ = next((a for a, b in r.match.items() if b == k - 1), k)
+    return [r.word(j) for j in range(open_ + 1, k - 1) if r.kinds[j] == "ID" and r.kinds[j - 1] in ("{", ",")]
+
+
 class _PythonFacts(ast.NodeVisitor):
     def __init__(self, repo: str, file: str, text: str, tree: ast.Module):
         self.repo, self.file, self.lines, self.facts = repo, file, text.splitlines(), []

@@ -85,7 +85,7 @@ def test_engine_from_sources_to_edges(spark):
     assert calls == {
         ("src/a.ts#run", "src/a.ts#inner", "high"), ("src/a.ts#run", "src/lib/make.ts#make", "med"), ("src/a.ts#run", "src/util.ts#help", "high"),
         ("src/a.ts#run", "src/lib/shape.ts#Shape.of", "med"), ("src/a.ts#Box.put", "src/a.ts#Box.take", "high"),
-        ("pkg/m.py#C.f", "pkg/m.py#C.g", "high"), ("pkg/m.py#C.f", "pkg/n.py#go", "high"),
+        ("pkg/m.py#C.f", "pkg/m.py#C.g", "high"), ("pkg/m.py#C.f", "pkg/n.py#go", "high"), ("cmd/main.go#main", "store/s.go#Open", "high"),
     }
     assert {(r["from"], r.to) for r in m.references.collect()} == {("t.tf#resource.a.b", "t.tf#variable.n"), ("t.tf#resource.a.b", "t.tf#local.z")}
     assert sorted(r.node for r in m.impact("r", "src/lib/make.ts").collect()) == ["src/a.ts", "src/lib/index.ts"]
