@@ -8,7 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.operators import compare, graph, link, references, resolve
+from codestrata.functions.ids import is_node
+from codestrata.operators import answers, compare, graph, link, references, resolve
 from codestrata.session import checkpointed
 from codestrata.sources.extract import extract_facts
 from codestrata.sources.infra import infra_facts
@@ -88,9 +89,23 @@ class CodeMap:
     def suggest(self, needle: str) -> DataFrame:
         return resolve.nearest_ids(needle, self.symbols)
 
-    def impact(self, repo: str, path: str, most_depth: int | None = None) -> DataFrame:
-        target = self.spark.createDataFrame([(repo, path)], "repo string, target string")
-        return graph.impact(self.pairs, target, most_depth)
+    @cached_property
+    def impact_pairs(self) -> DataFrame:
+        """Imports and references as one graph of files and nodes."""
+        return checkpointed(graph.impact_pairs(self.pairs, self.references))
+
+    def impact(self, repo: str, target: str, most_depth: int | None = None) -> DataFrame:
+        """What a file or node affects, through imports and references."""
+        wanted = self.spark.createDataFrame([(repo, target)], "repo string, target string")
+        return graph.impact(self.impact_pairs, wanted, most_depth)
+
+    def node_blast(self) -> DataFrame:
+        """(repo, node, blast) of every node inside a file, over imports and references."""
+        ids = self.symbols.select("repo", F.col("id").alias("node"), "kind").where(is_node(F.col("kind"), F.col("node"))).select("repo", "node")
+        return graph.blast_radius(self.impact_pairs, ids)
+
+    def references_at(self) -> DataFrame:
+        return answers.references_at(self.references)
 
     def blast(self) -> DataFrame:
         return graph.blast_radius(self.pairs, self.paths.toDF("repo", "node"))

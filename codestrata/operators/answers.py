@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions.ids import base_name, directory_of, lang_of
+from codestrata.functions.ids import ancestors, base_name, directory_of, is_node, lang_of
 from codestrata.operators import graph, resolve
 
 
@@ -64,3 +64,45 @@ def ladder(needles: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFram
     every = by_path.unionByName(by_end).unionByName(by_folder).unionByName(by_name).distinct()
     first = every.groupBy("needle").agg(F.min("step").alias("step"))
     return every.join(first, ["needle", "step"])
+
+
+def files_under(files: DataFrame) -> DataFrame:
+    """(repo, dir, path): every file below every directory, '.' the root; join it with the directories asked for."""
+    return files.select("repo", "path").distinct().select("repo", F.explode(ancestors(F.col("path"))).alias("dir"), "path")
+
+
+def nodes_of(symbols: DataFrame) -> DataFrame:
+    """(repo, file, place, id, kind): the nodes inside each file in order of their spans; repeated rows once."""
+    rows = symbols.where(is_node(F.col("kind"), F.col("id"))).select("repo", "file", "id", "kind", "span.start_line", "span.end_line").distinct()
+    place = F.row_number().over(Window.partitionBy("repo", "file").orderBy("start_line", "end_line", "id"))
+    return rows.select("repo", "file", place.alias("place"), "id", "kind")
+
+
+def references_at(references: DataFrame) -> DataFrame:
+    """(repo, id, direction, other, ref_kind): every reference seen from both of its ends, `out` and `in`."""
+    ends = F.explode(F.array(F.struct(F.col("from").alias("id"), F.lit("out").alias("direction"), F.col("to").alias("other")), F.struct(F.col("to").alias("id"), F.lit("in").alias("direction"), F.col("from").alias("other"))))
+    return references.select("repo", "ref_kind", ends.alias("__e")).select("repo", "__e.*", "ref_kind").distinct()
+
+
+def default_only(exports: DataFrame) -> DataFrame:
+    """(repo, file, name): declarations that a file exports as its default and under no name of their own.
+
+    exports are facts (repo, file, name, kind, signature = the local name).
+    """
+    rows = exports.where("fact = 'export'")
+    named = rows.where("kind <> 'default'").select("repo", "file", "name")
+    return rows.where("kind = 'default' and signature is not null").select("repo", "file", F.col("signature").alias("name")).distinct().join(named, ["repo", "file", "name"], "left_anti")
+
+
+def directory_verdicts(present: DataFrame, mapped: DataFrame, excludes: list[str]) -> DataFrame:
+    """(repo, dir, status, excluded_by): what is to be said of each directory of the tree.
+
+    found if the map holds a file below it; else stale if it has a file the map could hold; else excluded, by the glob
+    that keeps out the first of its files in order, or by `languages`. present and mapped are (repo, path).
+    """
+    tree = files_under(present)
+    judged = tree.withColumn("__by", resolve.excluding(F.col("path"), excludes)).join(mapped.select("repo", "path").distinct().withColumn("__there", F.lit(True)), ["repo", "path"], "left")
+    could = F.col("__by").isNull() & lang_of(F.col("path")).isNotNull()
+    sums = judged.groupBy("repo", "dir").agg(F.count("__there").alias("__found"), F.count_if(could).alias("__could"), F.min_by("__by", F.when(F.col("__by").isNotNull(), F.col("path"))).alias("__first"))
+    status = F.when(F.col("__found") > 0, "found").when(F.col("__could") > 0, "stale").otherwise("excluded")
+    return sums.select("repo", "dir", status.alias("status"), F.when(status == "excluded", F.coalesce("__first", F.lit("languages"))).alias("excluded_by"))

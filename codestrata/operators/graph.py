@@ -358,15 +358,47 @@ def top_k(metrics: DataFrame, by: str, k: int, keys: list[str]) -> DataFrame:
     return metrics.orderBy(F.desc(by), *keys).limit(k)
 
 
-def entry_points(imports: DataFrame, files: DataFrame, packages: DataFrame, per_package: int = 5) -> DataFrame:
+# Base names of files that a runtime starts, and exported names that it calls.
+FRONT_DOOR = r"^(main|index|server|app|cli|worker|handler)\."
+FRONT_NAMES = ("main", "handler", "fetch")
+
+
+def front_doors(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(repo, path): files with a front door's base name, or that export a front door's name as something callable."""
+    paths = files.select("repo", "path").distinct()
+    named = paths.where(F.regexp_extract("path", r"([^/]*)$", 1).rlike(FRONT_DOOR))
+    called = (F.col("kind") == "function") | F.col("kind").isin("const", "let") & (F.contains("signature", F.lit("=>")) | F.col("signature").rlike(r"(^|[^A-Za-z0-9_$])function[\s*(<]"))
+    exporting = symbols.where(F.col("exported") & F.col("parent").isNull() & F.col("name").isin(*FRONT_NAMES) & F.coalesce(called, F.lit(False)))
+    return named.unionByName(paths.join(exporting.select("repo", F.col("file").alias("path")), ["repo", "path"], "left_semi")).distinct()
+
+
+def impact_pairs(pairs: DataFrame, references: DataFrame) -> DataFrame:
+    """Import pairs (repo, src, dst) and reference edges (repo, from, to) as one graph over files, nodes and `ext:` ids.
+
+    Both point from what depends to what it depends on, so impact and blast radius mix files and nodes. References are
+    taken as they are; distinct edges, without loops and nulls.
+    """
+    edges = references.select("repo", F.col("from").alias("src"), F.col("to").alias("dst"))
+    return _edges(pairs.select("repo", "src", "dst").unionByName(edges)).where("src <> dst")
+
+
+def package_cycles(edges: DataFrame) -> DataFrame:
+    """(repo, component, size, line): cycles of the package graph (repo, from_pkg, to_pkg)."""
+    return cycles(edges.select("repo", F.col("from_pkg").alias("src"), F.col("to_pkg").alias("dst")))
+
+
+def entry_points(imports: DataFrame, files: DataFrame, packages: DataFrame, per_package: int = 5, doors: DataFrame | None = None) -> DataFrame:
     """(repo, pkg, path, reach, place): files nobody imports, by how much they reach, the first few of each package.
 
-    `packages` is (repo, path, pkg), the package that owns each file.
+    `packages` is (repo, path, pkg), the package that owns each file; `doors` (repo, path), where given, the only
+    candidates, then also those that reach nothing.
     """
     edges = checkpointed(expand_targets(imports, files).distinct())
     back = edges.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
     reach = reach_counts(back).where("n > 0").select("repo", F.col("node").alias("path"), F.col("n").alias("reach"))
     open_files = files.select("repo", "path").distinct().join(edges.select("repo", F.col("dst").alias("path")).distinct(), ["repo", "path"], "left_anti")
-    rows = open_files.join(reach, ["repo", "path"]).join(packages, ["repo", "path"])
+    if doors is not None:
+        open_files = open_files.join(doors, ["repo", "path"], "left_semi")
+    rows = open_files.join(reach, ["repo", "path"], "inner" if doors is None else "left").withColumn("reach", F.coalesce("reach", F.lit(0).cast("long"))).join(packages, ["repo", "path"])
     order = Window.partitionBy("repo", "pkg").orderBy(F.desc("reach"), "path")
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_package).select("repo", "pkg", "path", "reach", "place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions.ids import ancestors, directory_of, suffixes
+from codestrata.functions.ids import ancestors, directory_of, glob_pattern, suffixes
 
 
 def unique_or_none(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -146,14 +146,17 @@ def cross_edges(imports: DataFrame, published: DataFrame) -> DataFrame:
     return hits.groupBy("from_repo", "from_path", "specifier").agg(F.max_by(F.struct("to_repo", "to_pkg"), F.length("to_pkg")).alias("__t")).select("from_repo", "from_path", F.col("__t.to_repo"), F.col("__t.to_pkg"), "specifier")
 
 
-def first_excluding(paths: DataFrame, patterns: list[str], glob: Column | None = None) -> DataFrame:
-    """(path, pattern): the first of the ordered globs that matches each path, null where none does."""
-    from codestrata.functions.ids import glob_pattern
-
+def excluding(path: Column, patterns: list[str]) -> Column:
+    """The first of the ordered globs that matches a path, null where none does."""
     hit = F.lit(None).cast("string")
     for pattern in reversed(patterns):
-        hit = F.when(F.col("path").rlike(glob_pattern(pattern)), pattern).otherwise(hit)
-    return paths.select("path", hit.alias("pattern"))
+        hit = F.when(path.rlike(glob_pattern(pattern)), pattern).otherwise(hit)
+    return hit
+
+
+def first_excluding(paths: DataFrame, patterns: list[str]) -> DataFrame:
+    """(path, pattern): the first of the ordered globs that matches each path, null where none does."""
+    return paths.select("path", excluding(F.col("path"), patterns).alias("pattern"))
 
 
 def disambiguate(rows: DataFrame, keys: list[str], name: str, order: list[str], out: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import ids
-from codestrata.operators import answers, compare, graph, resolve
+from codestrata.operators import answers, compare, graph, link, resolve
 from codestrata.session import table
 
 _PACKAGE = r"^((?:packages|apps|services)/[^/]+)/"
@@ -171,10 +171,82 @@ def map_package_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.package_edges(m.paths, m.packages, graph.counted_targets(m.imports, m.paths))
 
 
-@_query(_BASE + "select repo, pkg, count(*) as files, sum(loc)::bigint as loc from o group by all")
+_PACKAGE_EDGES = """, l as (select a.repo, a.pkg as from_pkg, coalesce(b.pkg, g.pkg) as to_pkg from u join o a on a.repo = u.repo and a.path = u.src left join o b on b.repo = u.repo and b.path = u.dst
+    left join (select distinct repo, dir, case when regexp_matches(dir || '/', '^(packages|apps|services)/[^/]+/') then regexp_extract(dir || '/', '^((packages|apps|services)/[^/]+)/', 1) else 'root' end as pkg from d) g
+    on g.repo = u.repo and g.dir = u.dst), pe as (select distinct repo, from_pkg, to_pkg from l where from_pkg <> to_pkg)"""
+
+
+@_query(
+    _BASE
+    + _PACKAGE_EDGES
+    + """, n as (select repo, pkg, count(*) as files, sum(loc)::bigint as loc from o group by all union all select distinct repo, 'none', 0, 0 from f)
+    select n.repo, n.pkg, n.files, n.loc, coalesce((select string_agg(to_pkg, ',' order by to_pkg) from pe where pe.repo = n.repo and pe.from_pkg = n.pkg), '') as deps,
+    coalesce((select string_agg(from_pkg, ',' order by from_pkg) from pe where pe.repo = n.repo and pe.to_pkg = n.pkg), '') as rdeps from n"""
+)
 def map_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages with sizes and dependencies; a package without files (one is added to each repository) keeps zeros."""
+    m = Map(spark, sf_dir)
+    packages = m.packages.unionByName(m.paths.select("repo").distinct().select("repo", F.lit("no/such/dir").alias("dir"), F.lit("none").alias("pkg")))
+    return resolve.package_metrics(m.current, packages, graph.counted_targets(m.imports, m.paths))
+
+
+@_query(_BASE + "select repo, pkg, sum(loc)::bigint as loc from o group by all order by loc desc, repo, pkg limit 10")
+def map_top_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten packages with most lines: a top-k report."""
+    m = Map(spark, sf_dir)
+    sizes = resolve.package_metrics(m.current, m.packages, graph.counted_targets(m.imports, m.paths)).select("repo", "pkg", "loc")
+    return graph.top_k(sizes, "loc", 10, ["repo", "pkg"])
+
+
+@_query(
+    _BASE.replace("with f as", "with recursive f as")
+    + _PACKAGE_EDGES
+    + """, c as (select repo, from_pkg as src, to_pkg as dst from pe union select c.repo, c.src, pe.to_pkg from c join pe on pe.repo = c.repo and pe.from_pkg = c.dst),
+    s as (select a.repo, a.src as node, min(a.dst) as component from c a join c b on b.repo = a.repo and b.src = a.dst and b.dst = a.src group by a.repo, a.src)
+    select repo, component, count(*) as size, string_agg(node, ' → ' order by node) || ' → ' || min(node) as line from s group by repo, component"""
+)
+def map_package_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Map(spark, sf_dir)
-    return resolve.package_metrics(m.current, m.packages, graph.counted_targets(m.imports, m.paths)).select("repo", "pkg", "files", "loc")
+    edges = resolve.package_edges(m.paths, m.packages, graph.counted_targets(m.imports, m.paths))
+    return graph.package_cycles(edges).withColumn("size", F.col("size").cast("long"))
+
+
+@_query(
+    _BASE
+    + """, t as (select repo, path, unnest(range(0, len(string_split(path, '/')))) as n from f), a as (select repo, path, case when n = 0 then '.' else array_to_string(string_split(path, '/')[1:n], '/') end as dir from t)
+    select repo, dir, count(*) as files from a group by all"""
+)
+def map_files_under(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files lie below each directory."""
+    return answers.files_under(Map(spark, sf_dir).paths).groupBy("repo", "dir").agg(F.count("*").alias("files"))
+
+
+@_query(
+    """select repo, file, row_number() over (partition by repo, file order by start_line, end_line, id) as place, id, kind from (select distinct repo, file, id, kind, span.start_line as start_line, span.end_line as end_line from symbols
+    where kind in ('resource','data','variable','output','provider','module','local','job','step','stage','image','component','route','handler','task')
+    and regexp_matches(id, '^[^#]*#(resource|data|variable|output|provider|module|local|job|step|stage|image|component|route|handler|task)\\..+$'))"""
+)
+def map_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes inside each file, in order of their spans."""
+    return answers.nodes_of(Map(spark, sf_dir).symbols).withColumn("place", F.col("place").cast("long"))
+
+
+_VERDICT_EXCLUDES = ["**/api/**", *EXCLUDES]
+
+
+@_query(
+    """with p as (select distinct repo, path from files), b as (select repo, path, case when regexp_matches(path, '^(.*/)?api/.*$') then '**/api/**' when regexp_matches(path, '^(.*/)?vendor/.*$') then '**/vendor/**' when regexp_matches(path, '^node_modules/.*$') then 'node_modules/**'
+      when regexp_matches(path, '^(.*/)?[^/]*\\.min\\.js$') then '**/*.min.js' when regexp_matches(path, '^third_party/.*$') then 'third_party/**' when regexp_matches(path, '^(.*/)?dist/.*$') then '**/dist/**' end as pattern from p),
+    t as (select *, unnest(range(0, len(string_split(path, '/')))) as n from b), a as (select repo, path, pattern, case when n = 0 then '.' else array_to_string(string_split(path, '/')[1:n], '/') end as dir from t),
+    g as (select repo, dir, count(*) filter (pattern is null and path in (select file from symbols s where s.repo = a.repo)) as found, count(*) filter (pattern is null) as could, arg_min(pattern, path) filter (pattern is not null) as first_one from a group by all)
+    select repo, dir, case when found > 0 then 'found' when could > 0 then 'stale' else 'excluded' end as status, case when found = 0 and could = 0 then coalesce(first_one, 'languages') end as excluded_by from g"""
+)
+def map_directory_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories of the tree against a map of the files that have symbols, where everything below `api` is kept out."""
+    m = Map(spark, sf_dir)
+    outside = resolve.excluding(F.col("path"), _VERDICT_EXCLUDES).isNull()
+    mapped = m.symbols.select("repo", F.col("file").alias("path")).distinct().join(m.paths, ["repo", "path"], "left_semi").where(outside)
+    return answers.directory_verdicts(m.paths, mapped, _VERDICT_EXCLUDES)
 
 
 @_query(
@@ -267,16 +339,15 @@ def map_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """with x as (select distinct repo, regexp_extract(to_id, '^ext:([^/]+)', 1) as pkg from imports where to_id like 'ext:%' and from_path like '%.go'),
-    p as (select distinct repo, 'example.test/' || repo as pkg from files), o as (select pkg, min(repo) as to_repo from p group by pkg having count(distinct repo) = 1),
+    """with o as (select module_path as pkg, min(repo) || '-mirror' as to_repo from go_contexts where module_path is not null group by module_path having count(distinct repo) = 1),
     s as (select distinct repo, from_path, specifier from imports where to_id like 'ext:%' or to_id like 'unresolved:%'),
     h as (select s.repo as from_repo, s.from_path, s.specifier, o.to_repo, o.pkg as to_pkg from s join o on s.specifier = o.pkg or starts_with(s.specifier, o.pkg || '/') where o.to_repo <> s.repo)
     select from_repo, from_path, arg_max(to_repo, length(to_pkg)) as to_repo, arg_max(to_pkg, length(to_pkg)) as to_pkg, specifier from h group by from_repo, from_path, specifier"""
 )
 def map_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """External imports that another repository's module path answers."""
+    """Imports that a repository cannot resolve itself but its mirror, which publishes the same modules, answers."""
     m = Map(spark, sf_dir)
-    published = m.files.select("repo").distinct().select("repo", F.concat(F.lit("example.test/"), "repo").alias("pkg"))
+    published = table(spark, sf_dir, "go_contexts").where("module_path is not null").select(F.concat("repo", F.lit("-mirror")).alias("repo"), F.col("module_path").alias("pkg")).distinct()
     return resolve.cross_edges(m.raw_imports, published)
 
 
@@ -287,21 +358,31 @@ def map_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def map_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a path is left out: the first of the exclude globs that matches."""
-    paths = Map(spark, sf_dir).paths
-    hits = resolve.first_excluding(paths.select(F.concat_ws("\n", "repo", "path").alias("both"), "path"), EXCLUDES)
-    return paths.join(hits.distinct(), "path").select("repo", "path", "pattern")
+    return Map(spark, sf_dir).paths.select("repo", "path", resolve.excluding(F.col("path"), EXCLUDES).alias("pattern"))
+
+
+_TREE = "(select repo, path, arg_max(coalesce(content_sha, ''), (arrived_at, change_id)) as sha from file_changes group by all)"
+
+
+def _map_and_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(repo, path, sha) of the newest scans (the map) and of the newest queued contents (the tree, without deletions)."""
+    files, changes = Map(spark, sf_dir).files, table(spark, sf_dir, "file_changes")
+    old = files.groupBy("repo", "path").agg(F.max_by(F.coalesce("sha256", F.lit("")), "file_id").alias("sha"))
+    new = changes.groupBy("repo", "path").agg(F.max_by(F.coalesce("content_sha", F.lit("")), F.struct("arrived_at", "change_id")).alias("sha"))
+    return old, new.where("sha <> ''")
+
+
+_MAP_AND_TREE = f"with o as (select repo, path, arg_max(coalesce(sha256, ''), file_id) as sha from files group by all), n as (select * from {_TREE} where sha <> '')"
 
 
 @_query(
-    """with a as (select repo, path, arg_min(sha256, file_id) as sha, min(file_id) as id from files group by all having count(*) > 0),
-    b as (select repo, path, arg_max(coalesce(sha256, ''), file_id) as sha from files group by all), o as (select repo, path, arg_min(coalesce(sha256, ''), file_id) as sha from files group by all)
-    select o.repo, o.path, 'changed' as state from o join b using (repo, path) where o.sha <> b.sha"""
+    _MAP_AND_TREE
+    + """ select coalesce(o.repo, n.repo) as repo, coalesce(o.path, n.path) as path, case when n.repo is null then 'missing' when o.repo is null then 'extra' else 'changed' end as state
+    from o full join n on o.repo = n.repo and o.path = n.path where o.sha is distinct from n.sha"""
 )
 def map_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths whose first and last scan differ."""
-    files = Map(spark, sf_dir).files
-    sha = F.coalesce("sha256", F.lit(""))
-    return compare.verify(files.groupBy("repo", "path").agg(F.min_by(sha, "file_id").alias("sha")), files.groupBy("repo", "path").agg(F.max_by(sha, "file_id").alias("sha")), ["repo", "path"], "sha")
+    """The newest scans against the newest queued contents: what is missing, extra or changed."""
+    return compare.verify(*_map_and_tree(spark, sf_dir), ["repo", "path"], "sha")
 
 
 @_query(
@@ -355,16 +436,16 @@ def map_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """with s as (select distinct on (repo, path) repo, path, first(coalesce(sha256, '')) over (partition by repo, path order by file_id) as a, first(coalesce(sha256, '')) over (partition by repo, path order by file_id desc) as b from files)
-    select repo, path, case when a <> b then 'stale' else 'found' end as status from s"""
+    _MAP_AND_TREE
+    + """, a as (select repo, path from o union select repo, path from n union select repo, 'no/such/' || path from o)
+    select a.repo, a.path, case when n.sha is null then 'absent' when o.sha is null then 'unmapped' when o.sha <> n.sha then 'stale' else 'found' end as status
+    from a left join o on o.repo = a.repo and o.path = a.path left join n on n.repo = a.repo and n.path = a.path"""
 )
 def map_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First scans as the map, last scans as the tree: what is stale."""
-    files = Map(spark, sf_dir).files
-    sha = F.coalesce("sha256", F.lit("")).alias("sha256")
-    old = files.groupBy("repo", "path").agg(F.min_by(sha, "file_id").alias("sha256"))
-    new = files.groupBy("repo", "path").agg(F.max_by(sha, "file_id").alias("sha256"))
-    return answers.status_of(files, old, new, EXCLUDES)
+    """Scanned, queued and unknown paths: what the map knows of them, given the queued contents as the tree."""
+    old, new = ((df.withColumnRenamed("sha", "sha256")) for df in _map_and_tree(spark, sf_dir))
+    asked = old.select("repo", "path").unionByName(new.select("repo", "path")).unionByName(old.select("repo", F.concat(F.lit("no/such/"), "path").alias("path")))
+    return answers.status_of(asked, old, new, [])
 
 
 @_query("select repo, lang, count(*) as n, sum(coalesce(loc, 0))::bigint as loc from files group by all")
@@ -379,6 +460,36 @@ def map_externals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("repo", F.regexp_replace("to_id", "^ext:", "").alias("external")).agg(F.countDistinct("from_path").alias("users"))
 
 
+@_query(
+    """with d as (select repo, file, name, min(kind) as kind, min(parent) as parent from symbols group by all), g as (select *, file like '%.go' as go, case when contains(file, '/') then regexp_replace(file, '/[^/]*$', '') else '.' end as dir from d),
+    site as (select repo, file, dir, go, name as caller, regexp_extract(name, '[^.]*$') as bare, kind, regexp_replace(name, '\\.[^.]*$', '') as cls from g where kind in ('function', 'method')),
+    pk as (select repo, dir, name, count(distinct file) as n, min(file) as one, list(distinct file) as files from g where go and kind = 'function' and parent is null group by all),
+    firsts as (select repo, dir, min(name) as name from pk group by all),
+    a as (select s.repo, s.file, s.caller, s.file as target_file, s.caller as target from site s where not go and kind = 'function' and contains(s.caller, '.') = false
+      union select s.repo, s.file, s.caller, s.file, s.cls || '.' || s.bare from site s where not go and kind = 'method' and contains(s.caller, '.')
+      union select s.repo, s.file, s.caller, case when p.n = 1 then p.one when list_contains(p.files, s.file) then s.file end, p.name from site s join firsts f on f.repo = s.repo and f.dir = s.dir join pk p on p.repo = f.repo and p.dir = f.dir and p.name = f.name where go)
+    select distinct a.repo, a.file || '#' || a.caller as "from", a.target_file || '#' || a.target as "to", 'high' as confidence, 1 as line from a where a.target_file is not null
+      and exists (select 1 from d where d.repo = a.repo and d.file = a.target_file and d.name = a.target and d.kind not in ('interface', 'type') and (d.kind = 'method' or d.parent is null))"""
+)
+def map_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call edges of made-up call sites over the real symbols: functions call themselves, methods themselves through
+    `this`, and Go functions and methods the first function of their package."""
+    m = Map(spark, sf_dir)
+    none = F.lit(None)
+    decl = m.symbols.select("repo", "file", F.lit("decl").alias("fact"), "name", "kind", "parent", "signature", none.cast("string").alias("extends"), none.cast("string").alias("caller"), none.cast("string").alias("callee"), none.cast("int").alias("line"))
+    go = F.col("file").like("%.go")
+    sites = m.symbols.where("kind in ('function', 'method')").select("repo", "file", ids.directory_of(F.col("file")).alias("dir"), "name", "kind").distinct()
+    firsts = m.symbols.where(go & (F.col("kind") == "function") & F.col("parent").isNull()).groupBy("repo", ids.directory_of(F.col("file")).alias("dir")).agg(F.min("name").alias("callee"))
+    bare = F.regexp_extract("name", "[^.]*$", 0)
+    own = sites.where(~go).select("repo", "file", "name", F.when(F.col("kind") == "method", F.concat(F.lit("this."), bare)).otherwise(bare).alias("callee"))
+    calls = own.unionByName(sites.where(go).join(firsts, ["repo", "dir"]).select("repo", "file", "name", "callee"))
+    calls = calls.select("repo", "file", F.lit("call").alias("fact"), none.cast("string").alias("name"), none.cast("string").alias("kind"), none.cast("string").alias("parent"), none.cast("string").alias("signature"), none.cast("string").alias("extends"), F.col("name").alias("caller"), "callee", F.lit(1).alias("line"))
+    facts = decl.unionByName(calls).select("*", none.cast("string").alias("specifier"), none.cast("string").alias("import_kind"), none.cast("boolean").alias("reexport"), none.cast("array<string>").alias("symbols"), none.cast("array<string>").alias("locals"))
+    edges = spark.createDataFrame([], "repo string, `from` string, `to` string, kind string, specifier string")
+    index = spark.createDataFrame([], "repo string, file string, name string, target_file string, target_symbol string, hops int")
+    return link.link_calls(facts, edges, index)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _QUERIES.items()}
 

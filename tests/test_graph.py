@@ -90,6 +90,31 @@ def test_a_node_with_more_edges_than_a_block(spark):
     assert len(found) == 62 and {r.node: r.depth for r in found}["x"] == 3
 
 
+def test_front_doors_references_nodes_and_verdicts(spark):
+    from codestrata.operators import answers
+
+    files = spark.createDataFrame([("r", p) for p in ("a/main.ts", "a/b.ts", "a/c.ts", "d.ts", "api/x.ts", "docs/y.md")], "repo string, path string")
+    row = "repo string, file string, id string, name string, kind string, parent string, exported boolean, signature string, span struct<start_line int, end_line int>"
+    symbols = spark.createDataFrame(
+        [("r", "a/c.ts", "a/c.ts#handler", "handler", "const", None, True, "export const handler = async () =>", (1, 2)), ("r", "d.ts", "d.ts#fetch", "fetch", "const", None, True, "export const fetch = 3", (1, 1)),
+         ("r", "a/b.ts", "a/b.ts#route.x", "route.x", "route", None, True, "", (9, 9)), ("r", "a/b.ts", "a/b.ts#route.w", "route.w", "route", None, True, "", (2, 3)), ("r", "a/b.ts", "a/b.ts#route.w", "route.w", "route", None, True, "", (2, 3))], row
+    )
+    assert sorted(r.path for r in graph.front_doors(files, symbols).collect()) == ["a/c.ts", "a/main.ts"]
+    imports = spark.createDataFrame([("r", "a/main.ts", "a/b.ts", "import"), ("r", "a/c.ts", "a/main.ts", "import")], "repo string, from_path string, to_id string, kind string")
+    owner = files.selectExpr("repo", "path", "'p' as pkg")
+    assert [(r.path, r.reach, r.place) for r in graph.entry_points(imports, files, owner, doors=graph.front_doors(files, symbols)).collect()] == [("a/c.ts", 2, 1)]
+    assert [(r.id, r.place) for r in answers.nodes_of(symbols).orderBy("place").collect()] == [("a/b.ts#route.w", 1), ("a/b.ts#route.x", 2)]
+    refs = spark.createDataFrame([("r", "a/b.ts#route.x", "d.ts", "route-handler"), ("r", "d.ts", "d.ts", "x")], "repo string, `from` string, `to` string, ref_kind string")
+    assert ("d.ts", "in", "a/b.ts#route.x") in {(r.id, r.direction, r.other) for r in answers.references_at(refs).collect()}
+    both = graph.impact_pairs(edges(spark, [("a/main.ts", "a/b.ts"), ("d.ts", "a/c.ts")]), refs)
+    found = graph.impact(both, spark.createDataFrame([("r", "a/c.ts")], "repo string, target string")).collect()
+    assert {(r.node, r.depth) for r in found} == {("d.ts", 1), ("a/b.ts#route.x", 2)}
+    verdicts = {r.dir: (r.status, r.excluded_by) for r in answers.directory_verdicts(files, files.where("path = 'a/b.ts'"), ["api/**"]).collect()}
+    assert verdicts == {".": ("found", None), "a": ("found", None), "api": ("excluded", "api/**"), "docs": ("excluded", "languages")}
+    loop = spark.createDataFrame([("r", "p", "q"), ("r", "q", "p"), ("r", "q", "s")], "repo string, from_pkg string, to_pkg string")
+    assert [r.line for r in graph.package_cycles(loop).collect()] == ["p → q → p"]
+
+
 def test_directory_targets(spark):
     files = spark.createDataFrame([("r", p) for p in ("m/a.go", "m/b.go", "main.go", "x.go")], "repo string, path string")
     rows = [("main.go", "m", "import"), ("main.go", "m", "import"), ("main.go", "ext:fmt", "import"), ("x.go", "main.go", "reexport"), ("m/a.go", "m", "import"), ("x.go", ".", "call")]
