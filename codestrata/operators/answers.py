@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions.ids import ancestors, base_name, directory_of, is_node, lang_of
+from codestrata.functions.ids import ancestors, directory_of, is_node, lang_of, suffixes
 from codestrata.operators import graph, resolve
 
 
@@ -55,8 +55,9 @@ def ladder(needles: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFram
     wanted = needles.where("needle <> ''").select("needle").distinct()
     paths = files.select("repo", "path").distinct()
     by_path = wanted.join(paths, F.col("needle") == F.col("path")).select("needle", F.lit(1).alias("step"), "repo", F.col("path").alias("id"))
-    ends = resolve.by_unique_suffix(paths.select("repo", base_name(F.col("path")).alias("token")), paths)
-    by_end = wanted.join(ends, F.col("needle") == F.col("token")).select("needle", F.lit(1).alias("step"), "repo", F.col("path").alias("id"))
+    ends = paths.select("repo", "path", F.explode(suffixes(F.col("path"))).alias("needle")).join(wanted, "needle")  # each path's own ends
+    one = resolve.unique_or_none(ends, ["repo", "needle"], "path")
+    by_end = one.join(by_path.select("repo", "needle"), ["repo", "needle"], "left_anti").select("needle", F.lit(1).alias("step"), "repo", F.col("path").alias("id"))
     folders = paths.select("repo", directory_of(F.col("path")).alias("dir")).distinct()
     by_folder = wanted.join(folders, F.col("needle") == F.col("dir")).select("needle", F.lit(3).alias("step"), "repo", F.col("dir").alias("id"))
     found = resolve.find_symbols(symbols, wanted)

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.session import checkpointed
+
 
 def join_keys_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join on keys that may be null; the right side's keys are dropped."""
@@ -70,3 +72,20 @@ def first_after(
     )
     joined = both.join(carried, [*keys, "__bucket"], "left")
     return joined.select(*points.columns, F.coalesce("__inside", "__carried").alias(out))
+
+
+def running(df: DataFrame, keys: list[str], order: list, out: str, value: Column | None = None) -> DataFrame:
+    """Add `out`, the running sum of `value` (by default the row's number from 1) in `order` within `keys`.
+
+    Rows are range-partitioned and sorted once, so no task holds a key: a task sums its own rows, and gets what the
+    partitions before it hold of the key, one aggregated row for each. `order` should end in a unique column.
+    """
+    value = F.lit(1).cast("long") if value is None else value
+    sorted_rows = df.withColumn("__value", value).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    rows = checkpointed(sorted_rows.withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    sums = rows.groupBy(*keys, "__part").agg(F.sum("__value").alias("__sum"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*keys, "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__carried"))
+    inside = Window.partitionBy(*keys, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    joined = join_keys_null_safe(rows.withColumn("__inside", F.sum("__value").over(inside)), carried, [*keys, "__part"], "left")
+    return joined.withColumn(out, F.col("__inside") + F.col("__carried")).drop("__inside", "__carried", "__value", "__at", "__part")

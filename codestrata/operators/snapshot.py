@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.ids import lang_of
+from codestrata.operators.bucketed import running
 
 
 def dirty_paths(*sources: DataFrame) -> DataFrame:
@@ -78,22 +79,20 @@ def summary_states(files: DataFrame, summaries: DataFrame) -> DataFrame:
 
 def refresh_batches(states: DataFrame, size: int = 12) -> DataFrame:
     """(repo, path, batch): files whose summary isn't fresh, in path order, `size` to a batch of one repository."""
-    place = F.row_number().over(Window.partitionBy("repo").orderBy("path"))
-    return states.where("state <> 'fresh'").select("repo", "path", F.floor((place - 1) / size).cast("int").alias("batch"))
+    rows = running(states.where("state <> 'fresh'").select("repo", "path"), ["repo"], ["path"], "__place")
+    return rows.select("repo", "path", F.floor((F.col("__place") - 1) / size).cast("int").alias("batch"))
 
 
 def largest_that_fits(rows: DataFrame, keys: list[str], order: list, text: str, budget: int) -> DataFrame:
     """Rows of each key in order, as long as the estimated tokens of `text` so far stay within the budget."""
     from codestrata.functions.ids import estimate_tokens
 
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__sum", F.sum(estimate_tokens(F.col(text))).over(upto)).where(F.col("__sum") <= budget).drop("__sum")
+    return running(rows, keys, order, "__sum", estimate_tokens(F.col(text)).cast("long")).where(F.col("__sum") <= budget).drop("__sum")
 
 
 def pages(rows: DataFrame, keys: list[str], order: list, cap: int = 25) -> DataFrame:
     """Rows with `page`: sorted rows of each key in chunks of `cap`."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("page", F.floor((place - 1) / cap).cast("int"))
+    return running(rows, keys, order, "__place").withColumn("page", F.floor((F.col("__place") - 1) / cap).cast("int")).drop("__place")
 
 
 def next_route(path: Column) -> Column:

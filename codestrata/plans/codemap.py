@@ -139,11 +139,12 @@ def map_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("size", F.col("size").cast("long"))
 
 
-@_query(
-    _BASE.replace("with f as", "with recursive f as")
-    + f""", t as ({TARGETS_SQL}), b as (select repo, target, target as node, 0 as depth from t union select b.repo, b.target, e.src, b.depth + 1 from b join e on e.repo = b.repo and e.dst = b.node where b.depth < 25)
-    select repo, target, node, min(depth) as depth from b group by all having min(depth) > 0 and node <> target"""
-)
+_REACHED = """, b(repo, target, node, depth) using key (repo, target, node) as (select repo, target, target, 0 from t union
+    select b.repo, b.target, e.src, b.depth + 1 from b join e on e.repo = b.repo and e.dst = b.node left join recurring.b r on r.repo = b.repo and r.target = b.target and r.node = e.src where r.depth is null or r.depth > b.depth + 1)
+    select repo, target, node, depth from b where depth > 0"""
+
+
+@_query(_BASE.replace("with f as", "with recursive f as") + f", t as ({TARGETS_SQL})" + _REACHED)
 def map_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who is affected, and how far away, by the first imported file of each repository."""
     m = Map(spark, sf_dir)
@@ -152,9 +153,9 @@ def map_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.impact(m.pairs(), targets).withColumn("depth", F.col("depth").cast("long"))
 
 
-@_query(None)
+@_query(_BASE.replace("with f as", "with recursive f as") + ", t as (select distinct repo, dst as target from e)" + _REACHED)
 def map_impact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who is affected, and how far away, by every imported file; no SQL, as a recursion over depths cannot stop on cycles."""
+    """Who is affected, and how far away, by every imported file."""
     pairs = Map(spark, sf_dir).pairs()
     return graph.impact(pairs, pairs.select("repo", F.col("dst").alias("target"))).withColumn("depth", F.col("depth").cast("long"))
 

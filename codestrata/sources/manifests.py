@@ -139,6 +139,6 @@ def alias_candidates(specifiers: DataFrame, declared: DataFrame) -> DataFrame:
     listed = declared.where("kind in ('entry', 'blocked') and source = 'package.json'").select("repo", "dir", "key", "value", "place")
     exact = owner.join(listed, ["repo", "dir", "key"]).where("value is not null").select("repo", "file", "specifier", within(F.col("value")).alias("base"), (F.col("place") + 2000).alias("rank"))
     strict = declared.where("kind in ('entry', 'blocked') and key <> '.'").select("repo", "dir").distinct()
-    loose = owner.join(strict, ["repo", "dir"], "left_anti").select("repo", "file", "specifier", within(F.regexp_replace(F.substring("key", 3, 10_000), "^$", "index")).alias("base"), F.lit(3000).alias("rank"))
-    source = owner.join(strict, ["repo", "dir"], "left_anti").select("repo", "file", "specifier", within(F.concat(F.lit("src/"), F.regexp_replace(F.substring("key", 3, 10_000), "^$", "index"))).alias("base"), F.lit(3001).alias("rank"))
+    loose = owner.join(strict, ["repo", "dir"], "left_anti").select("repo", "file", "specifier", within(F.regexp_replace(F.expr("substring(key, 3)"), "^$", "index")).alias("base"), F.lit(3000).alias("rank"))
+    source = owner.join(strict, ["repo", "dir"], "left_anti").select("repo", "file", "specifier", within(F.concat(F.lit("src/"), F.regexp_replace(F.expr("substring(key, 3)"), "^$", "index"))).alias("base"), F.lit(3001).alias("rank"))
     return paths.unionByName(bases).unionByName(exact).unionByName(loose).unionByName(source)

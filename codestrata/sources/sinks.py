@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.operators.bucketed import running
+
 
 def json_lines(table: DataFrame, order: list[str]) -> DataFrame:
     """One column `value`: each row as JSON with sorted keys and without nulls, in the given total order."""
@@ -44,16 +46,29 @@ def write_changed(expected: DataFrame, path: str) -> DataFrame:
     return states
 
 
-def mermaid(edges: DataFrame, most: int = 25) -> str:
-    """A flow chart of package edges (from_pkg, to_pkg, n), the heaviest `most` of them; labels only above 1."""
-    rows = edges.groupBy("from_pkg", "to_pkg").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "from_pkg", "to_pkg").limit(most).collect()
-    names = sorted({x for r in rows for x in (r.from_pkg, r.to_pkg)})
-    ids = {n: f"n{i}" for i, n in enumerate(names)}
-    label = lambda s: s.replace('"', "#quot;")
-    lines = ["graph LR", *[f'  {ids[n]}["{label(n)}"]' for n in names]]
-    for r in sorted(rows, key=lambda r: (r.from_pkg, r.to_pkg)):
-        lines.append(f"  {ids[r.from_pkg]} -->{f'|{r.n}|' if r.n > 1 else ''} {ids[r.to_pkg]}")
-    return "\n".join(lines)
+def diagram_edges(edges: DataFrame, per_page: int = 25) -> DataFrame:
+    """(page, from_pkg, to_pkg, n): package edges summed, heaviest first, `per_page` to a page; none is left out."""
+    sums = edges.groupBy("from_pkg", "to_pkg").agg(F.sum("n").alias("n"))
+    placed = running(sums.withColumn("__heavy", -F.col("n")), [], ["__heavy", "from_pkg", "to_pkg"], "__place")
+    return placed.select(F.floor((F.col("__place") - 1) / per_page).cast("int").alias("page"), "from_pkg", "to_pkg", "n")
+
+
+def mermaid_pages(edges: DataFrame, per_page: int = 25) -> DataFrame:
+    """(page, text): flow charts of package edges (from_pkg, to_pkg, n), `per_page` edges each; labels only above 1."""
+    rows = F.array_sort(F.collect_list(F.struct("from_pkg", "to_pkg", "n")))
+    grouped = diagram_edges(edges, per_page).groupBy("page").agg(rows.alias("rows"))
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda r: F.array(r["from_pkg"], r["to_pkg"])))))
+    grouped = grouped.withColumn("names", names)
+    ident = lambda name: F.concat(F.lit("n"), F.array_position(F.col("names"), name) - 1)
+    nodes = F.transform("names", lambda n: F.concat(F.lit("  "), ident(n), F.lit('["'), F.replace(n, F.lit('"'), F.lit("#quot;")), F.lit('"]')))
+    label = lambda n: F.when(n > 1, F.concat(F.lit("|"), n, F.lit("|"))).otherwise("")
+    arrows = F.transform("rows", lambda r: F.concat(F.lit("  "), ident(r["from_pkg"]), F.lit(" -->"), label(r["n"]), F.lit(" "), ident(r["to_pkg"])))
+    return grouped.select("page", F.array_join(F.concat(F.array(F.lit("graph LR")), nodes, arrows), "\n").alias("text"))
+
+
+def mermaid(edges: DataFrame, per_page: int = 25) -> str:
+    """The pages of a repository's flow chart as one text, every edge in it; for writing many, take mermaid_pages."""
+    return "\n\n".join(r.text for r in mermaid_pages(edges, per_page).orderBy("page").toLocalIterator())
 
 
 def hotspots_markdown(metrics: DataFrame, k: int = 10) -> str:

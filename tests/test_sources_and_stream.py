@@ -69,3 +69,26 @@ def test_stream_publishes_every_change_once(spark, tmp_path):
     out = feed.IncrementalLedger(spark, ledger, ["checkout_id"], "change_id").output()
     assert sorted(r.change_id for r in out.collect()) == [1, 2, 3, 5, 9]
     assert {r.path: r.content_sha for r in feed.latest_state(spark, ledger).collect()} == {"p0": "s2", "p1": "s9"}
+
+
+def test_diagrams_keep_every_edge_in_pages(spark):
+    edges = spark.createDataFrame([(f"p{i:02}", f"q{i:02}", i) for i in range(1, 61)], "from_pkg string, to_pkg string, n long")
+    pages = sinks.mermaid_pages(edges, 25).orderBy("page").collect()
+    assert [r.page for r in pages] == [0, 1, 2] and sum(r.text.count("-->") for r in pages) == 60
+    assert "|60|" in pages[0].text and "|60|" not in pages[1].text
+
+
+def test_running_numbers_equal_a_plain_window(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from codestrata.operators.bucketed import running
+
+    rng = random.Random(6)
+    df = spark.createDataFrame([(rng.choice(["k", "k", "k", "l", None]), rng.randrange(50), i, rng.randrange(9)) for i in range(400)], "k string, a int, i long, v long").repartition(5)
+    plain = Window.partitionBy("k").orderBy("a", "i").rowsBetween(Window.unboundedPreceding, 0)
+    want = {(r.i, r.s) for r in df.withColumn("s", F.sum("v").over(plain)).collect()}
+    assert {(r.i, r.s) for r in running(df, ["k"], ["a", "i"], "s", F.col("v")).collect()} == want
+    assert running(df.limit(0), ["k"], ["a", "i"], "s").count() == 0
