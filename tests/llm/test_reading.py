@@ -50,3 +50,15 @@ def test_tables(spark):
     unlabelled = {r.doc_id: r.level for r in R.reading_levels(documents, labels.limit(0)).collect()}
     assert unlabelled == {1: 1, 2: 4, 6: 1}
     assert R.reading_levels(documents.limit(0), labels).collect() == []
+
+
+def test_syllables_of_words_not_looked_at_when_the_patterns_were_written():
+    held = dict(
+        reader=2, readability=5, document=3, people=2, evaluate=4, continuous=4, employee=3, employer=3, studying=3, flying=2, carrier=3, easier=3, variety=4, society=4, museum=3, poem=2, cooperate=4, chaos=2, actual=3, value=2, fuel=2,
+        build=1, question=2, queue=1, layer=2, rhythm=2, organism=4, stages=2, makes=1, changes=2, boxes=2, houses=2, walked=1, started=2, simple=2, whole=1, average=3, important=3, university=5, information=4, experience=4, areas=3, being=2,
+        doing=2, media=3, material=4, social=2, ocean=2, region=2, religious=3, serious=3, previous=3, ancient=2, efficient=3, orient=3, client=2, near=1, linear=3, nuclear=3, great=1, eye=1, year=1, young=1, reason=2, ready=2, react=2, reality=4,
+        creature=2, influence=3, fluid=2, fruit=1, quality=3, guarantee=3, january=4, mosaic=3, naive=2, archive=2, hyphenation=4, syllable=3, formula=3, sentence=2, difficult=3, education=4, scale=1, agree=2, shoe=1, blue=1, ties=1, tried=1, studies=2,
+        engine=2, machine=2, little=2, files=1, rules=1, modules=2, obvious=3, curious=3, idiot=3, librarian=4, comedian=4, suggestion=3, onion=2, triangle=3, diagram=3, appreciate=4, negotiate=4, associate=4, theory=3, geology=4, dinosaur=3, cruel=2,
+    )
+    wrong = [w for w, n in held.items() if R.syllables(w) != n]
+    assert len(wrong) <= 0.06 * len(held), wrong
