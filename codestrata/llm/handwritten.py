@@ -179,13 +179,21 @@ def _batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def _content_key() -> Column:
+def content_key() -> Column:
     """A hash of the source without its line ends and outer white space; null for blank sources."""
     text = F.trim(F.regexp_replace("source", r"[ \t]*(\r\n|\r|\n)", "\n"))
     text = F.regexp_replace(text, r"\n+$", "")
     return F.when(F.length(F.trim(text)) > 0, F.sha2(text, 256))
 
 
+PATH_RULES = {"generated": _GENERATED_PATH, "lockfile": _LOCKFILE_PATH, "minified": _MINIFIED_PATH, "vendored": _VENDOR_PATH}
+
+
+def path_rules(path: Column) -> dict[str, Column]:
+    """What a path alone says of a file: generated, lockfile, minified, vendored; false for a null path."""
+    return {name: F.coalesce(path.rlike(pattern), F.lit(False)) for name, pattern in PATH_RULES.items()}
+
+
 def origins(files: DataFrame) -> DataFrame:
     """(file_id, generated, minified, vendored, data, copied): why a file isn't hand-written; all false if it is.
 
@@ -193,15 +201,15 @@ def origins(files: DataFrame) -> DataFrame:
     alone, a null path by its source alone; rows with a null file_id are left out, exact repeats come once.
     copied marks files equal to a vendored one but for line ends, wherever it is stored.
     """
-    rows = files.where("file_id is not null").select("file_id", "path", "source", _content_key().alias("content"))
+    rows = files.where("file_id is not null").select("file_id", "path", "source", content_key().alias("content"))
     schema = "file_id long, notice boolean, declared boolean, minified boolean, data boolean, repetition boolean, path string, content string"
     facts = spread(rows).mapInPandas(_batches, schema)
-    by_path = lambda pattern: F.coalesce(F.col("path").rlike(pattern), F.lit(False))
+    rules = path_rules(F.col("path"))
     flags = facts.select(
         "file_id",
-        (F.col("notice") | F.col("repetition") | by_path(_GENERATED_PATH) | by_path(_LOCKFILE_PATH)).alias("generated"),
-        (F.col("minified") | by_path(_MINIFIED_PATH)).alias("minified"),
-        (F.col("declared") | by_path(_VENDOR_PATH)).alias("vendored"),
+        (F.col("notice") | F.col("repetition") | rules["generated"] | rules["lockfile"]).alias("generated"),
+        (F.col("minified") | rules["minified"]).alias("minified"),
+        (F.col("declared") | rules["vendored"]).alias("vendored"),
         "data",
         "content",
     )
