@@ -66,6 +66,23 @@ def link_imports(imports: DataFrame, files: DataFrame, modules: DataFrame | None
     java = wanted.where(lang == "java").withColumn("token", F.concat(F.regexp_replace(F.regexp_replace("specifier", r"\.\*$", ""), r"\.", "/"), F.lit(".java")))
     one = by_unique_suffix(java.select("repo", "token"), files.where(F.col("path").like("%.java")))
     hits = hits.unionByName(java.join(one, ["repo", "token"]).select("repo", "file", "specifier", "path", F.lit(3).alias("rule")))
+    kotlin = wanted.where(lang == "kotlin")
+    packages = imports.where("fact = 'package'").select("repo", "file", F.col("name").alias("pkg"))
+    top = imports.where("fact = 'decl' and parent is null").where(lang == "kotlin").select("repo", "file", F.col("name").alias("symbol")).distinct()
+    declared_in = top.join(packages, ["repo", "file"]).groupBy("repo", F.concat("pkg", F.lit("."), "symbol").alias("full")).agg(F.min("file").alias("path"), F.max("file").alias("__most")).where("path = __most").drop("__most")
+    # a declaration, or a member of one
+    meant = kotlin.select("*", F.posexplode(F.array(F.col("specifier"), F.regexp_replace("specifier", r"\.[^.]+$", ""))).alias("place", "full"))
+    meant = meant.join(declared_in, ["repo", "full"]).groupBy("repo", "file", "specifier").agg(F.min_by("path", "place").alias("path"))
+    hits = hits.unionByName(meant.withColumn("rule", F.lit(5)))
+    if declared is not None:
+        # Python's import roots: directories with a project file and their src, the deepest first, before the repository's root
+        roots = declared.where("source = 'pyproject.toml'").select("repo", "dir").distinct()
+        roots = roots.select("repo", F.explode(F.array("dir", F.when(F.col("dir") == ".", "src").otherwise(F.concat("dir", F.lit("/src"))))).alias("root"))
+        absolute = wanted.where((lang == "python") & ~F.startswith("specifier", F.lit("."))).join(roots, "repo")
+        base = F.when(F.col("root") == ".", F.replace("specifier", F.lit("."), F.lit("/"))).otherwise(F.concat("root", F.lit("/"), F.replace("specifier", F.lit("."), F.lit("/"))))
+        ends = absolute.select("repo", "file", "specifier", "root", F.posexplode(_each(base, [".py", "/__init__.py", ".pyi"])).alias("place", "path"))
+        below = ends.join(files.select("repo", "path").distinct(), ["repo", "path"]).groupBy("repo", "file", "specifier").agg(F.min_by("path", F.struct((-F.size(F.split("root", "/"))).alias("d"), "root", "place")).alias("path"))
+        hits = hits.unionByName(below.withColumn("rule", F.lit(-1)))
     if modules is not None:
         go = wanted.where(lang == "go").join(modules.where("module_path is not null").select("repo", "module_path").distinct(), "repo")
         inside = go.where((F.col("specifier") == F.col("module_path")) | F.startswith("specifier", F.concat("module_path", F.lit("/"))))

@@ -450,6 +450,8 @@ def _kotlin(r: _Reader, i: int = 0, stop: int | None = None, parent: str | None
             end = i + 1
             while end + 2 < stop + 1 and r.kinds[end + 1 : end + 2] == ["."]:
                 end += 2
+            if r.words[i] == "package":
+                r.add("package", name=".".join(r.word(k) for k in range(i + 1, end + 1, 2)))
             if r.words[i] == "import":
                 spec = "".join(r.text[r.at[i + 1] : r.at[end + 1] if end + 1 < r.size else len(r.text)].split())
                 local = r.word(end + 2) if r.words[end + 1 : end + 2] == ["as"] else spec.rpartition(".")[2]

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.functions.ids import base_name, directory_of
+from codestrata.functions.ids import base_name, directory_of, normal_join
+from codestrata.session import checkpointed
 
 MANIFESTS = ("package.json", "go.mod", "Cargo.toml", "pyproject.toml", "tsconfig.json", "jsconfig.json")
 MANIFEST_SCHEMA = "repo string, dir string, source string, name string, kind string, key string, value string, place int"
@@ -69,6 +70,8 @@ def manifest_rows(base: str, text: str) -> list[tuple]:
             rows.append((base, part["name"].replace("-", "_") if base == "Cargo.toml" else part["name"], "package", None, None, 0))
     else:
         data = parse_jsonc(text)
+        bases = data.get("extends") if isinstance(data, dict) else None
+        rows += [(base, None, "extends", None, b.strip(), i) for i, b in enumerate([bases] if isinstance(bases, str) else bases if isinstance(bases, list) else []) if isinstance(b, str) and b.strip().startswith(".")]
         options = data.get("compilerOptions") if isinstance(data, dict) else None
         if isinstance(options, dict):
             root = options.get("baseUrl")
@@ -90,7 +93,33 @@ def _batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def manifests(files: DataFrame) -> DataFrame:
     """What the manifests among files (repo, path, source) declare; broken or null ones declare nothing."""
     rows = files.where("source is not null").select("repo", directory_of(F.col("path")).alias("dir"), base_name(F.col("path")).alias("base"), "source")
-    return rows.where(F.col("base").isin(*MANIFESTS)).mapInPandas(_batches, MANIFEST_SCHEMA)
+    return rows.where(F.col("base").isin(*MANIFESTS) | F.col("base").rlike(r"^tsconfig\..*json$")).mapInPandas(_batches, MANIFEST_SCHEMA)
+
+
+def effective_configs(declared: DataFrame) -> DataFrame:
+    """(repo, dir, at, kind, key, value, place): the `path` and `base` options in force for the configuration of each
+    directory, own or inherited through `extends`; `at` is the directory of the file that spells them.
+
+    Of several bases the last that has an option wins. Chains have any length, one round a step; a file is taken once.
+    """
+    options = declared.where("kind in ('path', 'base')").select("repo", F.col("dir").alias("at"), F.col("source").alias("file"), "kind", "key", "value", "place")
+    names = F.when(F.endswith("value", F.lit(".json")), F.col("value")).otherwise(F.concat("value", F.lit(".json")))
+    target = normal_join(F.col("dir"), names)
+    steps = checkpointed(declared.where("kind = 'extends'").select("repo", F.col("dir").alias("at"), F.col("source").alias("file"), directory_of(target).alias("to"), base_name(target).alias("to_file"), F.col("place").alias("nth")))
+    reached = declared.where("source in ('tsconfig.json', 'jsconfig.json')").select("repo", "dir", F.col("dir").alias("at"), F.col("source").alias("file")).distinct()
+    reached = frontier = checkpointed(reached.select("*", F.lit("").alias("rank"), F.lit(0).alias("depth")))
+    where = ["repo", "dir", "at", "file"]
+    while True:  # nearer files first, of one file's bases the last first
+        further = frontier.join(steps, ["repo", "at", "file"]).select("repo", "dir", F.col("to").alias("at"), F.col("to_file").alias("file"), F.concat("rank", F.format_string("%06d", F.lit(999_999) - F.col("nth"))).alias("rank"), (F.col("depth") + 1).alias("depth"))
+        further = further.groupBy(*where).agg(F.min("rank").alias("rank"), F.min("depth").alias("depth")).join(reached, where, "left_anti")
+        frontier = checkpointed(further)
+        if not frontier.limit(1).count():
+            break
+        reached = checkpointed(reached.unionByName(frontier))
+    found = reached.join(options, ["repo", "at", "file"])
+    # the first file in this order that has the option: a file before its bases, the last base's line before the others'
+    best = found.groupBy("repo", "dir", "kind").agg(F.min(F.struct("rank", "at", "file")).alias("__b"))
+    return found.join(best, ["repo", "dir", "kind"]).where("at = __b.at and file = __b.file").select("repo", "dir", "at", "kind", "key", "value", "place")
 
 
 def detect_packages(declared: DataFrame, files: DataFrame) -> DataFrame:
@@ -118,8 +147,8 @@ def alias_candidates(specifiers: DataFrame, declared: DataFrame) -> DataFrame:
     from codestrata.functions.ids import ancestors
 
     bare = specifiers.where(~F.col("specifier").rlike(r"^[./]")).select("repo", "file", "specifier").distinct()
-    configs = declared.where("kind in ('path', 'base')")
-    owners = configs.select("repo", "dir").distinct()
+    configs = checkpointed(effective_configs(declared))
+    owners = declared.where("source in ('tsconfig.json', 'jsconfig.json')").select("repo", "dir").distinct()
     above = bare.select("repo", "file").distinct().select("repo", "file", F.posexplode(ancestors(F.col("file"))).alias("far", "dir")).join(owners, ["repo", "dir"])
     nearest = above.groupBy("repo", "file").agg(F.min_by("dir", "far").alias("dir"))
     mine = bare.join(nearest, ["repo", "file"])
@@ -130,8 +159,9 @@ def alias_candidates(specifiers: DataFrame, declared: DataFrame) -> DataFrame:
     hits = tried.where(fits).withColumn("__good", F.struct((~F.col("wild")).cast("int").alias("a"), F.length(prefix).alias("b"), "key"))
     best = hits.groupBy("repo", "file", "specifier").agg(F.max("__good").alias("__good"))
     within = lambda c: F.when(F.col("dir") == ".", c).otherwise(F.concat("dir", F.lit("/"), c))
-    paths = hits.join(best, ["repo", "file", "specifier", "__good"]).select("repo", "file", "specifier", within(F.when(F.col("wild"), F.replace("value", F.lit("*"), star)).otherwise(F.col("value"))).alias("base"), F.col("place").alias("rank"))
-    bases = mine.join(configs.where("kind = 'base'"), ["repo", "dir"]).select("repo", "file", "specifier", within(F.when(F.col("value") == ".", F.col("specifier")).otherwise(F.concat("value", F.lit("/"), "specifier"))).alias("base"), F.lit(1000).alias("rank"))
+    at = lambda c: F.when(F.col("at") == ".", c).otherwise(normal_join(F.col("at"), c))
+    paths = hits.join(best, ["repo", "file", "specifier", "__good"]).select("repo", "file", "specifier", at(F.when(F.col("wild"), F.replace("value", F.lit("*"), star)).otherwise(F.col("value"))).alias("base"), F.col("place").alias("rank"))
+    bases = mine.join(configs.where("kind = 'base'"), ["repo", "dir"]).select("repo", "file", "specifier", at(F.when(F.col("value") == ".", F.col("specifier")).otherwise(F.concat("value", F.lit("/"), "specifier"))).alias("base"), F.lit(1000).alias("rank"))
     heads = F.concat(F.array(F.col("specifier")), F.filter(ancestors(F.col("specifier")), lambda d: d != "."))
     package = bare.select("*", F.explode(heads).alias("name")).join(declared.where("kind = 'package' and source = 'package.json' and name is not null").select("repo", "name", "dir").distinct(), ["repo", "name"])
     owner = package.groupBy("repo", "file", "specifier").agg(F.max_by(F.struct("name", "dir"), F.length("name")).alias("__o")).select("repo", "file", "specifier", "__o.*")

@@ -32,3 +32,25 @@ def test_packages_and_aliases(spark):
         "@/b": "src/b.ts", "@/special": "src/other.ts", "@/deep/q": "src/q.ts", "@s/lib": "p/lib/main.js", "@s/lib/sub": "p/lib/sub/index.ts", "@s/lib/hidden": "ext:@s/lib",
         "plain": "ext:plain", "src/b": "src/b.ts", "c.d.E": "j/src/c/d/E.java", "java.util.List": "ext:java",
     }
+
+
+def test_extends_of_any_length_python_roots_and_kotlin_packages(spark):
+    tree = {
+        "configs/tsconfig.base.json": '{"compilerOptions": {"paths": {"@base/*": ["../lib/*"], "@both/*": ["../lib/*"]}}}',
+        "configs/tsconfig.mid.json": '{"extends": "./tsconfig.base"}',
+        "app/tsconfig.json": '{"extends": ["./missing.json", "../configs/tsconfig.mid.json"], "compilerOptions": {"strict": true}}',
+        "own/tsconfig.json": '{"extends": "../configs/tsconfig.mid.json", "compilerOptions": {"paths": {"@both/*": ["./*"]}}}',
+        "loop/tsconfig.json": '{"extends": "./tsconfig.json"}',
+        "lib/x.ts": "export const x = 1;\n", "own/x.ts": "export const x = 2;\n", "loop/y.ts": 'import "@base/x";\n',
+        "app/a.ts": 'import { x } from "@base/x";\n', "own/b.ts": 'import { x } from "@both/x";\nimport "@base/x";\n',
+        "svc/pyproject.toml": "[project]\nname = 'svc'\n", "svc/src/core/m.py": "def f():\n    pass\n", "core/m.py": "", "svc/run.py": "from core.m import f\nimport os\n",
+        "k/A.kt": "package one.two\n\nclass Box\n\nfun open() {}\n", "k/B.kt": "package one.two\n\nfun twice() {}\n", "k/C.kt": "package one.two\n\nfun twice() {}\n",
+        "z/M.kt": "package z\n\nimport one.two.Box\nimport one.two.Box.make\nimport one.two.twice\nimport java.util.List\n",
+    }
+    m = CodeMap(spark.createDataFrame([("r", p, s) for p, s in tree.items()], "repo string, path string, source string"))
+    to = {(r["from"], r.specifier): r.to for r in m.imports.collect()}
+    assert to["app/a.ts", "@base/x"] == "lib/x.ts"
+    assert to["own/b.ts", "@both/x"] == "own/x.ts" and to["own/b.ts", "@base/x"].startswith("ext:")  # a file's own paths replace inherited ones
+    assert to["loop/y.ts", "@base/x"].startswith("ext:")
+    assert to["svc/run.py", "core.m"] == "svc/src/core/m.py" and to["svc/run.py", "os"] == "ext:os"
+    assert to["z/M.kt", "one.two.Box"] == "k/A.kt" and to["z/M.kt", "one.two.twice"] == "ext:one"
