@@ -94,6 +94,12 @@ def _dealt(steps: DataFrame, block_edges: int) -> DataFrame:
     return steps.join(parts, ["repo", "node"]).join(blocks, "repo").select("repo", "node", "next", block.alias("block"))
 
 
+def _border(moved: DataFrame, homes: DataFrame) -> DataFrame:
+    """The rows of `moved` at nodes that have edges in a block other than the one that found them."""
+    ends = homes.groupBy("repo", "node").agg(F.min("block").alias("__first"), F.max("block").alias("__last"))
+    return moved.join(ends, ["repo", "node"]).where("__first <> __last or __first <> block").drop("__first", "__last")
+
+
 def _anew(df: DataFrame) -> DataFrame:
     """The same rows as columns of their own, for a frame that meets its own descendants."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
@@ -228,21 +234,24 @@ def reach_counts(edges: DataFrame, block_edges: int = BLOCK_EDGES, block_sources
     used = steps.join(parts, "repo").select("repo", "block", "node", "next", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)).alias("part"))
     frontier = known.join(homes, ["repo", "node"])
     own = ["repo", "part", "node", "word"]
+    merged = lambda rows: rows.groupBy(*own).agg(F.bit_or("bits").alias("bits"))
+    without = lambda bits, old: F.col(bits).bitwiseAND(F.bitwise_not(F.coalesce(old, F.lit(0).cast("long"))))
     while True:
         moved = used.groupBy("repo", "block", "part").cogroup(_anew(frontier).groupBy("repo", "block", "part")).applyInPandas(_reach_in_block, "repo string, part long, node string, word int, bits long, block long")
         moved = checkpointed(moved)
-        new = moved.groupBy(*own).agg(F.bit_or("bits").alias("bits")).join(known.withColumnRenamed("bits", "__old"), own, "left")
-        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("__old", F.lit(0).cast("long"))))
-        new = new.select(*own, fresh.alias("bits")).where("bits <> 0")
-        # what a block found it has carried on already; other blocks with edges of the node have not
-        done = moved.select(*own, "block", F.col("bits").alias("__done"))
-        frontier = new.join(homes, ["repo", "node"]).join(done, [*own, "block"], "left")
-        frontier = frontier.select(*own, "block", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("__done", F.lit(0).cast("long")))).alias("bits")).where("bits <> 0")
-        frontier, old = checkpointed(frontier), known
-        known = checkpointed(known.unionByName(moved.drop("block")).groupBy(*own).agg(F.bit_or("bits").alias("bits")))
-        discard(old, moved)
-        if not frontier.limit(1).count():
+        border = checkpointed(_border(moved, homes))
+        if border.limit(1).count():
+            new = merged(border).join(merged(known).withColumnRenamed("bits", "__old"), own, "left").select(*own, without("bits", "__old").alias("bits")).where("bits <> 0")
+            # what a block found it has carried on already; other blocks with edges of the node have not
+            done = border.select(*own, "block", F.col("bits").alias("__done"))
+            frontier = new.join(homes, ["repo", "node"]).join(done, [*own, "block"], "left")
+            frontier = checkpointed(frontier.select(*own, "block", without("bits", "__done").alias("bits")).where("bits <> 0"))
+        known = known.unionByName(moved.drop("block"))
+        if not border.limit(1).count() or not frontier.limit(1).count():
             break
+        known = checkpointed(merged(known))
+        discard(moved, border)
+    known = merged(known)
     counts = known.groupBy("repo", "node").agg(F.sum(F.bit_count("bits")).alias("__n"))
     # a source's own bit is no other node
     itself = sources.withColumn("__own", F.lit(1))
@@ -301,19 +310,23 @@ def impact(edges: DataFrame, targets: DataFrame, most_depth: int | None = None,
     used = steps.join(parts, "repo").select("repo", "block", "node", "next", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)).alias("part"))
     frontier = known.join(homes, ["repo", "node"])
     own = ["repo", "part", "target", "node"]
+    merged = lambda rows: rows.groupBy(*own).agg(F.min("depth").alias("depth"))
     search = _impact_in_block(most_depth)
     while True:
         moved = used.groupBy("repo", "block", "part").cogroup(_anew(frontier).groupBy("repo", "block", "part")).applyInPandas(search, "repo string, part long, target string, node string, depth int, block long")
         moved = checkpointed(moved)
-        new = moved.groupBy(*own).agg(F.min("depth").alias("depth")).join(known.withColumnRenamed("depth", "__old"), own, "left").where("__old is null or depth < __old").drop("__old")
-        # a block that found the least depth has searched on from there; other blocks with edges of the node have not
-        done = moved.select(*own, "block", "depth")
-        frontier = checkpointed(new.join(homes, ["repo", "node"]).join(done, [*own, "block", "depth"], "left_anti"))
-        old = known
-        known = checkpointed(known.unionByName(moved.drop("block")).groupBy(*own).agg(F.min("depth").alias("depth")))
-        discard(old, moved)
-        if not frontier.limit(1).count():
+        border = checkpointed(_border(moved, homes))
+        if border.limit(1).count():
+            new = merged(border).join(merged(known).withColumnRenamed("depth", "__old"), own, "left").where("__old is null or depth < __old").drop("__old")
+            # a block that found the least depth has searched on from there; other blocks with edges of the node have not
+            done = border.select(*own, "block", "depth")
+            frontier = checkpointed(new.join(homes, ["repo", "node"]).join(done, [*own, "block", "depth"], "left_anti"))
+        known = known.unionByName(moved.drop("block"))
+        if not border.limit(1).count() or not frontier.limit(1).count():
             break
+        known = checkpointed(merged(known))
+        discard(moved, border)
+    known = merged(known)
     return known.where("depth > 0").select("repo", "target", "node", "depth")
 
 
