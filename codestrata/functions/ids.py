@@ -170,3 +170,14 @@ def glob_pattern(glob: str) -> str:
         else:
             out, i = out + ("\\" + glob[i] if glob[i] in r"\.+()[]{}^$|" else glob[i]), i + 1
     return f"^{out}$"
+
+
+def looks_like_path(token: Column) -> Column:
+    """Whether a token reads as a file's path and not as a symbol's name: a slash or a language's file name, and no '#'."""
+    return ~F.contains(token, F.lit("#")) & (F.contains(token, F.lit("/")) | lang_of(token).isNotNull())
+
+
+def shortened(items: Column, most: int) -> Column:
+    """A list as text: its first `most` items, and how many more there are."""
+    more = F.size(items) - most
+    return F.concat(F.array_join(F.slice(items, 1, most), ", "), F.when(more > 0, F.concat(F.lit(" and "), more, F.lit(" more"))).otherwise(""))

@@ -107,3 +107,22 @@ def directory_verdicts(present: DataFrame, mapped: DataFrame, excludes: list[str
     sums = judged.groupBy("repo", "dir").agg(F.count("__there").alias("__found"), F.count_if(could).alias("__could"), F.min_by("__by", F.when(F.col("__by").isNotNull(), F.col("path"))).alias("__first"))
     status = F.when(F.col("__found") > 0, "found").when(F.col("__could") > 0, "stale").otherwise("excluded")
     return sums.select("repo", "dir", status.alias("status"), F.when(status == "excluded", F.coalesce("__first", F.lit("languages"))).alias("excluded_by"))
+
+
+def node_counts(symbols: DataFrame, owners: DataFrame) -> DataFrame:
+    """(repo, pkg, nodes): how many nodes the files of each package hold; owners is (repo, path, pkg)."""
+    nodes = nodes_of(symbols).select("repo", F.col("file").alias("path"), "id")
+    return owners.join(nodes, ["repo", "path"], "left").groupBy("repo", "pkg").agg(F.count("id").alias("nodes"))
+
+
+# Files whose presence tells that a repository uses a language, beside the files of the language.
+MARKERS = {"go.mod": "go", "pyproject.toml": "python", "setup.py": "python", "Cargo.toml": "rust", "pom.xml": "java", "build.gradle": "java", "build.gradle.kts": "java", "Dockerfile": "dockerfile", "Containerfile": "dockerfile"}
+
+
+def marked_languages(files: DataFrame) -> DataFrame:
+    """(repo, lang): the languages that marker files, or endings that need no marker, tell of; files is (repo, path)."""
+    base = F.regexp_extract("path", r"([^/]*)$", 1)
+    marker = F.try_element_at(F.create_map(*[F.lit(x) for kv in MARKERS.items() for x in kv]), base)
+    ending = F.when(base.rlike(r"\.py$"), "python").when(base.rlike(r"\.java$"), "java").when(base.rlike(r"\.kts?$"), "kotlin").when(base.rlike(r"\.tf$"), "hcl").when(base.rlike(r"^Dockerfile\."), "dockerfile")
+    found = files.select("repo", F.explode(F.array_distinct(F.array(marker, ending))).alias("lang"))
+    return found.where("lang is not null").distinct()

@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -145,3 +145,26 @@ def lcs_ratio(pairs: DataFrame) -> DataFrame:
 def missed_targets(measured: DataFrame, targets: DataFrame) -> DataFrame:
     """(metric, value, most): measured metrics above their target; metrics without a target or a value are not judged."""
     return measured.join(targets, "metric").where("value > most").select("metric", "value", "most")
+
+
+def sample_tasks(symbols: DataFrame, per_kind: int, seed: int = 0) -> DataFrame:
+    """(repo, id, kind, place): `per_kind` symbols of each kind of a repository, the same ones for a seed wherever it runs.
+
+    A sampling operator: the least hashes of seed and id are taken, after a first cut inside each slice of the hash.
+    """
+    order = F.xxhash64(F.lit(seed), "repo", "id")
+    rows = symbols.select("repo", "id", "kind").distinct().withColumn("__h", order).withColumn("__slice", F.pmod("__h", F.lit(64)))
+    near = Window.partitionBy("repo", "kind", "__slice").orderBy("__h", "id")
+    few = rows.withColumn("__n", F.row_number().over(near)).where(F.col("__n") <= per_kind)
+    last = Window.partitionBy("repo", "kind").orderBy("__h", "id")
+    return few.withColumn("place", F.row_number().over(last)).where(F.col("place") <= per_kind).select("repo", "id", "kind", "place")
+
+
+def inject_drift(expected: DataFrame, keys: list[str], value: str, one_in: int, seed: int = 0) -> DataFrame:
+    """`expected` with drift to test a verifier: of the rows that a hash picks, one in `one_in`, a third each is lost,
+    changed, or doubled under a new first key; `injected` names what verify has to say of each row (null: nothing)."""
+    pick = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(3 * one_in))
+    rows = expected.withColumn("injected", F.when(pick == 0, "missing").when(pick == 1, "changed").when(pick == 2, "extra"))
+    changed = rows.withColumn(value, F.when(F.col("injected") == "changed", F.concat(F.lit("drift:"), F.coalesce(F.col(value).cast("string"), F.lit("")))).otherwise(F.col(value)))
+    kept = changed.withColumn("injected", F.when(F.col("injected") == "extra", None).otherwise(F.col("injected")))
+    return kept.unionByName(rows.where("injected = 'extra'").withColumn(keys[0], F.concat(F.lit("drift:"), F.col(keys[0]).cast("string"))))

@@ -461,6 +461,41 @@ def map_externals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("repo", F.regexp_replace("to_id", "^ext:", "").alias("external")).agg(F.countDistinct("from_path").alias("users"))
 
 
+@_query(
+    _BASE
+    + """, n as (select distinct repo, file, id from symbols where kind in ('resource','data','variable','output','provider','module','local','job','step','stage','image','component','route','handler','task')
+    and regexp_matches(id, '^[^#]*#(resource|data|variable|output|provider|module|local|job|step|stage|image|component|route|handler|task)\\..+$'))
+    select o.repo, o.pkg, count(n.id) as nodes from o left join n on n.repo = o.repo and n.file = o.path group by all"""
+)
+def map_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes the files of each package hold."""
+    m = Map(spark, sf_dir)
+    return answers.node_counts(m.symbols, resolve.package_of(m.paths, m.packages))
+
+
+@_query(
+    """select distinct repo, case when path like '%.py' then 'python' when path like '%.java' then 'java' when path like '%.tf' then 'hcl' end as lang from files where path like '%.py' or path like '%.java' or path like '%.tf'"""
+)
+def map_marked_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages that marker files and telling endings show, by repository."""
+    return answers.marked_languages(Map(spark, sf_dir).paths)
+
+
+@_query(
+    """with o as (select repo, path, arg_max(coalesce(sha256, ''), file_id) as sha from files group by all) select 1 as one, count(*) as files from o"""
+)
+def map_drift_caught(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files whose state verify tells as it was injected, or rightly does not tell: every file there is."""
+    files = Map(spark, sf_dir).files
+    old = files.groupBy("repo", "path").agg(F.max_by(F.coalesce("sha256", F.lit("")), "file_id").alias("sha"))
+    drifted = compare.inject_drift(old, ["path", "repo"], "sha", 5)
+    told = compare.verify(old, drifted.where("injected is null or injected <> 'missing'"), ["repo", "path"], "sha")
+    want = drifted.where("injected is not null").select("repo", "path", F.col("injected").alias("__w"))
+    both = told.join(want, ["repo", "path"], "full_outer")
+    wrong = both.where(~F.col("state").eqNullSafe(F.col("__w"))).select(F.lit(-1).cast("long").alias("n"))
+    return old.select(F.lit(1).cast("long").alias("n")).unionByName(wrong).agg(F.sum("n").alias("files")).select(F.lit(1).alias("one"), "files")
+
+
 @_query(
     """with d as (select repo, file, name, min(kind) as kind, min(parent) as parent from symbols group by all), g as (select *, file like '%.go' as go, case when contains(file, '/') then regexp_replace(file, '/[^/]*$', '') else '.' end as dir from d),
     site as (select repo, file, dir, go, name as caller, regexp_extract(name, '[^.]*$') as bare, kind, regexp_replace(name, '\\.[^.]*$', '') as cls from g where kind in ('function', 'method')),
