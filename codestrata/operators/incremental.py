@@ -22,14 +22,16 @@ DAY = 86_400_000_000  # microseconds
 FIRST = -(1 << 62)  # before every instant
 
 
-def merge_intervals(intervals: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi", bucket: int = 1_000_000) -> DataFrame:
+def merge_intervals(intervals: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi", bucket: int | None = 1_000_000) -> DataFrame:
     """Merge half-open intervals [lo, hi) of numbers of each key into disjoint ones; touching ones are joined.
 
     Empty intervals (lo >= hi) and intervals with a null end are dropped. Exact duplicates count once. They are
     merged inside stretches of `bucket` numbers first, so that a hot key's many small intervals are many tasks;
-    what is left of each stretch is merged across.
+    what is left of each stretch is merged across. bucket None leaves the stretches out, for keys of few intervals each.
     """
     clean = intervals.select(*keys, lo, hi).where(F.col(lo) < F.col(hi)).groupBy(*keys, lo).agg(F.max(hi).alias(hi))
+    if bucket is None:
+        return _islands(clean, keys, lo, hi)
     inside = _islands(clean.withColumn("__stretch", F.floor(F.col(lo) / bucket)), [*keys, "__stretch"], lo, hi)
     return _islands(inside.drop("__stretch"), keys, lo, hi)
 
@@ -43,13 +45,13 @@ def _islands(clean: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
     return islands.groupBy(*keys, "__island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("__island")
 
 
-def subtract_intervals(available: DataFrame, processed: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
+def subtract_intervals(available: DataFrame, processed: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi", bucket: int | None = 1_000_000) -> DataFrame:
     """The parts of `available` that `processed` does not cover, as disjoint half-open intervals.
 
     A sweep over the ends: +1/-1 events of both sides, one ordered pass per key. Either table may be empty.
     """
     def ends(df: DataFrame, a: int, p: int) -> DataFrame:
-        merged = merge_intervals(df, keys, lo, hi)
+        merged = merge_intervals(df, keys, lo, hi, bucket)
         return merged.select(*keys, F.col(lo).alias("__at"), F.lit(a).alias("__a"), F.lit(p).alias("__p")).unionByName(
             merged.select(*keys, F.col(hi).alias("__at"), F.lit(-a).alias("__a"), F.lit(-p).alias("__p"))
         )
@@ -64,7 +66,7 @@ def subtract_intervals(available: DataFrame, processed: DataFrame, keys: list[st
         F.sum("__a").over(upto).alias("__in"),
         F.sum("__p").over(upto).alias("__done"),
     )
-    return merge_intervals(swept.where("__in > 0 and __done = 0"), keys, lo, hi)
+    return merge_intervals(swept.where("__in > 0 and __done = 0"), keys, lo, hi, bucket)
 
 
 def successful_runs(runs: DataFrame, states: DataFrame) -> DataFrame:
@@ -91,7 +93,7 @@ def run_gaps(runs: DataFrame) -> DataFrame:
     month = F.floor(F.col("hi") / (30 * DAY))
     before = previous_row(starts, ["checkout_id"], ["hi"], month, ["hi"], "__before").where("__before is not null")
     processed = before.select(*keys, F.lit(FIRST).alias("lo"), F.col("__before.hi").alias("hi"))
-    return subtract_intervals(available, processed, keys)
+    return subtract_intervals(available, processed, keys, bucket=None)  # one range a run on either side
 
 
 def effective_changes(changes: DataFrame) -> DataFrame:
