@@ -14,6 +14,7 @@ from codestrata.operators.resolve import by_unique_suffix, probe
 from codestrata.session import checkpointed
 from codestrata.sources.manifests import alias_candidates
 
+EMBED_LEVELS = 3  # of embedded Go types that are searched, as the rule has it
 SCRIPT_ENDS = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
 
 
@@ -263,8 +264,27 @@ def _go_calls(calls: DataFrame, facts: DataFrame, decls: DataFrame, bindings: Da
     through = free.withColumnRenamed("owner", "alias").join(bound, ["repo", "file", "alias"]).withColumn("target_dir", F.col("alias_dir"))
     receivers = decls.where(is_go & (F.col("kind") == "method")).select("repo", "file", F.col("name").alias("caller"), F.regexp_extract("signature", r"^func\s*\(\s*(\w+)\s", 1).alias("owner"))
     on_self = free.join(receivers, ["repo", "file", "caller", "owner"]).withColumn("target_dir", F.col("dir")).withColumn("type", F.substring_index("caller", ".", 1))
-    methods = values.unionByName(on_self.select(*out, "member", "target_dir", "type"))
-    return bare.unionByName(at(through, F.col("member"), "function")).unionByName(at(methods, F.concat("type", F.lit("."), "member"), "method"))
+    methods = checkpointed(values.unionByName(on_self.select(*out, "member", "target_dir", "type")).distinct())
+    own_methods = declared.where("kind = 'method'").select("repo", F.col("dir").alias("target_dir"), F.col("name").alias("__name"))
+    hits = bare.unionByName(at(through, F.col("member"), "function")).unionByName(at(methods, F.concat("type", F.lit("."), "member"), "method"))
+
+    # promoted through embedded types: the shallowest level that has the member decides; a field of the name, or two
+    # methods on one level, end the search, as does the third level
+    embeds = facts.where("fact = 'embed'").select("repo", "file", "parent", "callee")
+    embeds = typed(embeds, "callee").select("repo", directory_of(F.col("file")).alias("at_dir"), F.col("parent").alias("at_type"), "target_dir", "type").distinct()
+    fields = facts.where("fact = 'member'").where(is_go).select("repo", directory_of(F.col("file")).alias("target_dir"), F.col("parent").alias("type"), F.col("name").alias("member")).distinct()
+    call = [*out, "member"]
+    level = methods.join(own_methods, (methods["repo"] == own_methods["repo"]) & (methods["target_dir"] == own_methods["target_dir"]) & (F.concat(methods["type"], F.lit("."), methods["member"]) == own_methods["__name"]), "left_anti")
+    level = level.join(fields, ["repo", "target_dir", "type", "member"], "left_anti")
+    for _ in range(EMBED_LEVELS):
+        level = level.withColumnsRenamed({"target_dir": "at_dir", "type": "at_type"}).join(embeds, ["repo", "at_dir", "at_type"]).select(*call, "target_dir", "type").distinct()
+        level = checkpointed(level.join(level.join(fields, ["repo", "target_dir", "type", "member"], "left_semi").select(*call), [c for c in call if c != "caller"], "left_anti"))
+        there = at(level, F.concat("type", F.lit("."), "member"), "method").withColumn("member", F.regexp_replace("target_symbol", r"^.*\.", ""))
+        single = there.groupBy(*call).agg(F.countDistinct("target_file", "target_symbol").alias("__n"), F.first(F.struct("target_file", "target_symbol")).alias("__t"))
+        single = checkpointed(single)
+        hits = hits.unionByName(single.where("__n = 1").select(*out, "__t.*", F.lit("high").alias("confidence")))
+        level = level.join(single.select(*[c for c in call if c != "caller"]), [c for c in call if c != "caller"], "left_anti")
+    return hits
 
 
 def link_references(facts: DataFrame) -> DataFrame:

@@ -334,6 +334,8 @@ def _go(r: _Reader) -> None:
                     kind = next((w for w in ("struct", "interface") if w in r.words[k:end]), "type") if word == "type" else word
                     if kind == "interface":
                         r.typed.append((k, end))
+                    elif kind == "struct" and r.kinds[k + 2 : k + 3] == ["{"]:
+                        _go_fields(r, k + 3, r.match.get(k + 2, end), name)
                     r.declare(name, kind, k if grouped else first, r.find(k, ("{", "=", ";"), end), end - 1, upper(name))
                     if upper(name):
                         r.add("export", name=name, kind="named", signature=name)
@@ -345,6 +347,24 @@ def _go(r: _Reader) -> None:
             i = r.match.get(i, i) + 1
 
 
+def _go_fields(r: _Reader, i: int, stop: int, owner: str) -> None:
+    """The fields of a struct, and the types it embeds, whose fields and methods it promotes."""
+    while i < stop:
+        end = r.find(i, (";",), stop)
+        k = i + (r.kinds[i] == "*")
+        last = k + 2 if r.kinds[k + 1 : k + 2] == ["."] else k
+        if r.kinds[k] == "ID" and (last + 1 >= end or r.kinds[last + 1] == "STR"):
+            r.add("embed", parent=owner, callee=".".join(r.word(j) for j in range(k, last + 1, 2)))
+            r.add("member", name=r.word(last), parent=owner)
+        else:
+            while k < end and r.kinds[k] == "ID":
+                r.add("member", name=r.word(k), parent=owner)
+                if r.kinds[k + 1] != ",":
+                    break
+                k += 2
+        i = end + 1
+
+
 def _go_locals(r: _Reader, i: int, body: int, last: int, caller: str) -> None:
     """Names that a Go function binds, with `type T` or `call f` where that is written down; they hide package names."""
     note = lambda name, kind, text: r.add("local", caller=caller, name=name, kind=kind, callee=text and "".join(text.split()).lstrip("*&"))

@@ -84,3 +84,14 @@ def test_inherited_members(spark):
     }
     calls = {(r["from"], r["to"]) for r in code_map(spark, "r", tree).calls.collect()}
     assert calls == {("b.ts#B.two", "a.ts#A.two"), ("d.ts#D.go", "b.ts#B.two"), ("d.ts#D.go", "d.ts#D.go")}
+
+
+def test_go_promotes_methods_of_embedded_types(spark):
+    tree = {
+        "go.mod": "module ex.test/m\n",
+        "lib/a.go": "package lib\n\ntype Base struct{ Size int }\n\nfunc (b *Base) Run() {}\n\nfunc (b *Base) Stop() {}\n\nfunc (b *Base) Size2() {}\n",
+        "m.go": 'package main\n\nimport "ex.test/m/lib"\n\ntype Other struct{}\n\nfunc (o Other) Stop() {}\n\ntype Mid struct {\n\t*lib.Base `json:"b"`\n}\n\ntype Top struct {\n\tMid\n\tname, Run2 string\n}\n\ntype Two struct {\n\tlib.Base\n\tOther\n}\n\ntype Hides struct {\n\tlib.Base\n\tRun func()\n}\n\n'
+        "func f(t *Top, w Two, h Hides) {\n\tt.Run()\n\tt.Run2()\n\tw.Run()\n\tw.Stop()\n\th.Run()\n\th.Stop()\n}\n",
+    }
+    calls = {(r["from"], r["to"]): r.line for r in code_map(spark, "r", tree).calls.collect()}
+    assert set(calls) == {("m.go#f", "lib/a.go#Base.Run"), ("m.go#f", "lib/a.go#Base.Stop")}
